@@ -1,5 +1,5 @@
 """All statements by query name."""
 
-from oracles import analyses
+from oracles import analyses, cleaning, statistics
 
-SQL: dict[str, str] = {**analyses.SQL}
+SQL: dict[str, str] = {**analyses.SQL, **cleaning.SQL, **statistics.SQL}

@@ -11,10 +11,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rentalytics import constants as C
+from rentalytics.functions import scalars as X
 from rentalytics.operators import benchmark as A
+from rentalytics.operators import cleaning as K
+from rentalytics.operators import dashboard as D
+from rentalytics.operators import imputation as I
+from rentalytics.operators import statistics as S
 from rentalytics.operators import warehouse as W
+from rentalytics.operators.quantiles import quantiles
 from rentalytics.plans import analyses as Q
-from rentalytics.sources.binding import listings
+from rentalytics.plans.pipeline import clean_listings
+from rentalytics.runtime import stage_path
+from rentalytics.sources import readers as R
+from rentalytics.sources import writers as O
+from rentalytics.sources.binding import (
+    listings, listings_with_gaps, source_a, source_b, table,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,4 +93,210 @@ WAREHOUSE: dict[str, Query] = {
     "keyed_listings": _flat(W.with_keys),
     "check_star": _flat(lambda df: W.check_star(W.build_star(df))),
 }
-QUERIES: dict[str, Query] = {**ANALYSES, **WAREHOUSE}
+
+
+def _a(step: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf: step(source_a(spark, sf))
+
+
+def _b(step: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf: step(source_b(spark, sf))
+
+
+def _round_trip(make, write, read) -> Query:
+    """Write a derived table to the shared folder and read it with the reader under test."""
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        path = stage_path(spark, "files")
+        write(make(spark, sf), path)
+        return read(spark, path)
+
+    return query
+
+
+def _csv(df: DataFrame, path: str) -> None:
+    df.write.options(**O.CSV_OPTIONS).csv(path)
+
+
+def _crlf(df: DataFrame, path: str) -> None:
+    cols = [f.name for f in R.schemas.STAGING.fields]
+    W.with_keys(df).select(*cols).write.options(header=True, lineSep="\r\n").csv(path)
+
+
+def _split_counts(df: DataFrame) -> DataFrame:
+    full, gaps = I.split_complete(df, C.ROOM_COUNTS)
+    return full.select(F.lit("complete").alias("part")).unionAll(
+        gaps.select(F.lit("missing").alias("part"))
+    ).groupBy("part").agg(F.count("*").alias("n"))
+
+
+SOURCES: dict[str, Query] = {
+    "read_source_a": _round_trip(source_a, _csv, R.read_source_a),
+    "read_source_b": _round_trip(
+        source_b, _csv,
+        lambda spark, p: R.read_source_b(spark, p).withColumn("price", X.to_number("price"))),
+    "load_staging": _round_trip(listings, _crlf, R.load_staging),
+    "write_listings": _round_trip(
+        listings, lambda df, p: O.write_listings(df, p, ("realSum", "room_type", "city", "beds")),
+        lambda spark, p: spark.read.options(header=True).schema(
+            "realSum double, room_type string, city string, beds int").csv(p)),
+    "write_json": _round_trip(
+        lambda spark, sf: listings(spark, sf, ("listing_id", "city", "realSum")), O.write_json,
+        lambda spark, p: spark.read.schema("listing_id long, city string, realSum double").json(p)),
+    "write_by_city": _round_trip(
+        lambda spark, sf: listings(spark, sf, ("city", "realSum")),
+        lambda df, p: O.write_by_city(df, p, ("city", "realSum")),
+        lambda spark, p: spark.read.options(header=True).schema(
+            "city string, realSum double, city_file string").csv(p)),
+    "write_table": _round_trip(
+        lambda spark, sf: listings(spark, sf, ("listing_id", "city", "realSum")),
+        lambda df, p: O.write_table(df, p, partition_by=["city"]), R.read_listings),
+    "read_pages": lambda spark, sf: R.read_pages(spark, f"{sf}/pages.parquet"),
+}
+
+CLEANING: dict[str, Query] = {
+    "rescale_rating": _a(lambda df: df.select(
+        "realSum", X.rescale("cleanliness_rating", 0.5).alias("cleanliness_rating"))),
+    "rename_columns": _a(lambda df: K.rename(
+        df.select("lat", "lng"), {"lat": "latitude", "lng": "longitude"})),
+    "room_flags": _b(lambda df: K.room_flags(df.select("room_type"))),
+    "drop_null": _b(lambda df: K.drop_null(df, ["host_is_superhost"])),
+    "map_bool": _b(lambda df: df.select(
+        F.col("host_is_superhost").alias("raw"),
+        X.map_bool("host_is_superhost").alias("host_is_superhost"))),
+    "flag_gt": _b(lambda df: df.select(
+        "host_listings_count", X.flag_gt("host_listings_count", 1).alias("multi"))),
+    "round_fill": _b(lambda df: df.select(
+        "review_scores_cleanliness",
+        X.round_fill("review_scores_cleanliness").alias("cleanliness_rating"))),
+    "parse_pct": _b(lambda df: df.select(
+        "host_acceptance_rate",
+        X.parse_pct("host_acceptance_rate").alias("guest_satisfaction_overall"))),
+    "add_nulls": _b(lambda df: K.add_nulls(df.select("price"))),
+    "split_location": _b(lambda df: K.split_location(df.select("host_location"))),
+    "filter_cities": _b(lambda df: K.filter_cities(
+        K.split_location(df).select("city", "country"))),
+    "resolve_city": _b(lambda df: K.resolve_city(K.split_location(df.select("host_location")))),
+    "exclude_tokens": _b(lambda df: K.exclude_tokens(
+        K.split_location(df).select("city", "country"))),
+    "day_features": _b(lambda df: K.day_features(df.select("calendar_last_scraped"))),
+    "amenity_flags": _b(lambda df: K.amenity_flags(df.select("amenities"))),
+    "coerce_numeric": _b(lambda df: K.coerce_numeric(
+        df.select(F.col("host_acceptance_rate").alias("raw"), "host_acceptance_rate"),
+        ["host_acceptance_rate"])),
+    "cast_ints": _b(lambda df: K.cast_ints(
+        df.select("price", "bedrooms", "beds"), ["bedrooms", "beds"])),
+    "clean_source_a": _a(K.clean_source_a),
+    "clean_source_b": _b(K.clean_source_b),
+    "clean_source_b_fallback": _b(lambda df: K.clean_source_b(df, use_country_fallback=True)),
+    "union_sources": lambda spark, sf: K.merge_sources(source_a(spark, sf), source_b(spark, sf)),
+    "schema_diff": lambda spark, sf: K.schema_diff(
+        K.clean_source_a(source_a(spark, sf)), K.clean_source_b(source_b(spark, sf))),
+    "null_profile": _b(K.null_profile),
+}
+
+
+def _gaps(columns, missing, step, rounding: str = "") -> Query:
+    return lambda spark, sf: rounded(
+        step(listings_with_gaps(spark, sf, columns, missing)), rounding)
+
+
+_ROOMS = (*I.ROOM_HELPERS, *C.ROOM_COUNTS)
+_ROOM_GAPS = ("person_capacity", *C.ROOM_COUNTS)
+_ROOM_MOMENTS = " ".join(f"{c}_mean {c}_scale" for c in _ROOMS)
+IMPUTATION: dict[str, Query] = {
+    "split_complete": _gaps(_ROOMS, _ROOM_GAPS, _split_counts),
+    "fit_scaler": _gaps(_ROOMS, _ROOM_GAPS, lambda df: I.fit_scaler(
+        I.split_complete(df, C.ROOM_COUNTS)[0], _ROOMS), _ROOM_MOMENTS),
+    "donor_sample": _gaps(_ROOMS, _ROOM_GAPS, lambda df: I.donor_sample(
+        I.split_complete(df, C.ROOM_COUNTS)[0], 2000).select("listing_id", "realSum")),
+    "impute_amenities": _gaps(
+        (*I.AMENITY_HELPERS, *C.AMENITIES), ("person_capacity", "bedrooms", *C.AMENITIES),
+        I.impute_amenities, "person_capacity bedrooms"),
+    "impute_distances": _gaps(
+        (*I.DISTANCE_HELPERS, *C.DISTANCE_MEASURES), ("person_capacity", *C.DISTANCE_MEASURES),
+        I.impute_distances, " ".join(("person_capacity", *C.DISTANCE_MEASURES))),
+    "impute_rooms": _gaps(_ROOMS, _ROOM_GAPS, I.impute_rooms, "person_capacity"),
+    "clean_listings": lambda spark, sf: clean_listings(source_a(spark, sf), source_b(spark, sf)),
+}
+
+
+def _cols(columns: str, step: Callable[[DataFrame], DataFrame], rounding: str = "", digits: int = 6) -> Query:
+    return lambda spark, sf: rounded(step(listings(spark, sf, columns.split())), rounding, digits)
+
+
+def _events(step: Callable[[DataFrame], DataFrame], rounding: str = "") -> Query:
+    return lambda spark, sf: rounded(step(table(spark, sf, "events")), rounding)
+
+
+RESPONSES = ("realSum", "guest_satisfaction_overall", "cleanliness_rating")
+_RESPONSES = " ".join((*RESPONSES, "room_type"))
+# Sums of squares are large; they are compared to about ten leading digits.
+_ANOVA_DIGITS = {"realSum": -4, "guest_satisfaction_overall": 3, "cleanliness_rating": 3}
+
+
+def _anova_rounded(df: DataFrame) -> DataFrame:
+    parts = [
+        rounded(rounded(df.filter(F.col("response") == y), "sum_sq mean_sq", d), "f_value")
+        for y, d in _ANOVA_DIGITS.items()
+    ]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+_PRICE = "realSum room_type"
+STATISTICS: dict[str, Query] = {
+    "complete_cases": _cols("realSum cleanliness_rating room_type", lambda df: S.complete_cases(
+        df, ["realSum", "cleanliness_rating"], ["room_type"])),
+    "level_counts": _cols("room_type", lambda df: S.level_counts(df, "room_type")),
+    "numeric_summary": _cols(
+        "realSum", lambda df: S.numeric_summary(df, "realSum"), "q1 median q3 mean"),
+    "numeric_summary_events": _events(
+        lambda df: S.numeric_summary(df, "value"), "q1 median q3 mean"),
+    "quantiles_by_group": _events(lambda df: quantiles(
+        df, "value", (0.1, 0.5, 0.99), ("p10", "p50", "p99"), ["event_type"]), "p10 p50 p99"),
+    "anova_price": _cols(_PRICE, lambda df: rounded(
+        S.anova(df, "realSum", "room_type", p_values=False), "sum_sq mean_sq", -4), "f_value"),
+    "anova_price_p": _cols(_PRICE, lambda df: S.anova(df, "realSum", "room_type")),
+    "anova_each": _cols(_RESPONSES, lambda df: _anova_rounded(
+        S.anova_each(df, RESPONSES, "room_type", p_values=False))),
+    "tukey_pairs": _cols(_PRICE, lambda df: S.tukey_hsd(
+        df, "realSum", "room_type", p_values=False), "diff se q"),
+    "tukey_hsd": _cols(_PRICE, lambda df: S.tukey_hsd(df, "realSum", "room_type")),
+    "manova_wilks": _cols(_RESPONSES, lambda df: rounded(
+        S.manova_wilks(df, RESPONSES, "room_type", p_values=False), "wilks", 9), "approx_f df2"),
+    "manova_wilks_p": _cols(_RESPONSES, lambda df: S.manova_wilks(df, RESPONSES, "room_type")),
+    "group_error_bars": _cols(_PRICE, lambda df: S.group_error_bars(
+        df, "realSum", "room_type"), "mean sd se lower upper"),
+    "box_stats": _events(lambda df: S.box_stats(df, "value", "event_type"), "q1 median q3"),
+    "group_means": _cols(_RESPONSES, lambda df: S.group_means(
+        df, RESPONSES, "room_type"), " ".join(f"mean_{y}" for y in RESPONSES)),
+    "scatter_sample": _cols("listing_id " + _RESPONSES, lambda df: S.scatter_sample(
+        df, (*RESPONSES, "room_type"))),
+}
+
+SPEC = D.FilterSpec(
+    cities=("NATION_1", "NATION_2", "NATION_3", "NATION_7", "NATION_15"),
+    room_types=("STANDARD", "ECONOMY", "PROMO"), price=(5000.0, 60000.0), capacity=(2, 5),
+    min_rating=75, superhost=True, weekend=False,
+)
+_SPEC_COLUMNS = (
+    "city room_type realSum person_capacity guest_satisfaction_overall host_is_superhost is_weekend"
+)
+DASHBOARD: dict[str, Query] = {
+    "iqr_filter": _events(lambda df: D.iqr_filter(df.select("event_id", "value"), "value")),
+    "apply_filters": _cols("listing_id " + _SPEC_COLUMNS, lambda df: D.apply_filters(df, SPEC)),
+    "filter_domains": _cols("city room_type realSum person_capacity", D.filter_domains),
+    "kpis": _cols(_SPEC_COLUMNS, lambda df: D.kpis(
+        df, SPEC, D.iqr_bounds(df, "realSum")), "avg_price avg_rating"),
+    "value_share": _cols("room_type", lambda df: D.value_share(df, "room_type"), "share"),
+    "superhost_share": _cols("host_is_superhost", D.superhost_share, "share"),
+    "map_sample": _cols(
+        "listing_id city room_type latitude longitude realSum dist", D.map_sample),
+    "price_by_day": _cols("is_weekend realSum", D.price_by_day, "avg_price"),
+    "price_by_capacity": _cols("person_capacity realSum", D.price_by_capacity, "avg_price"),
+    "satisfaction_gauge": _cols(
+        "guest_satisfaction_overall", D.satisfaction_gauge, "avg_satisfaction"),
+    "price_box": _cols(_PRICE, lambda df: S.box_stats(df, "realSum", "room_type"), "q1 median q3"),
+}
+QUERIES: dict[str, Query] = {
+    **ANALYSES, **WAREHOUSE, **SOURCES, **CLEANING, **IMPUTATION, **STATISTICS, **DASHBOARD,
+}

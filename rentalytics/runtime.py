@@ -46,6 +46,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def stage_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -53,7 +58,7 @@ def stage(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFr
     optimizer the true size of the data.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = stage_path(spark, label)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

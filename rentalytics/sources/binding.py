@@ -186,8 +186,12 @@ SOURCE_B_RULES: dict[str, str] = {
         "Vienna, Austria, Europe", "Lisbon, Portugal", "Budapest, Hungary", "Toronto, Canada",
         "Barcelona, Spain", "Athens, Greece", "Rome, Italy")),
     "calendar_last_scraped":
-        "concat(cast(year(o_orderdate) as {text}), '-', lpad(cast(month(o_orderdate) as {text}), 2, '0'),"
-        " '-', lpad(cast(day(o_orderdate) as {text}), 2, '0'))",
+        "case when o_orderkey % 3 = 0"
+        " then concat(cast(month(o_orderdate) as {text}), '/', cast(day(o_orderdate) as {text}),"
+        " '/', cast(year(o_orderdate) as {text}))"
+        " else concat(cast(year(o_orderdate) as {text}), '-',"
+        " lpad(cast(month(o_orderdate) as {text}), 2, '0'), '-',"
+        " lpad(cast(day(o_orderdate) as {text}), 2, '0')) end",
     "amenities": _pick("o_custkey", (
         '["Wifi", "Air conditioning", "HDTV"]', '["Kitchen", "Free parking", "Heating"]', "",
         None, '["WIFI", "TV with ""cable"" box", "Central heating"]', '["Parking garage"]')),

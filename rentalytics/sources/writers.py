@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from rentalytics import constants as C
 
+# Texts are written as they are, blanks included.
+CSV_OPTIONS = {
+    "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 def write_listings(
     df: DataFrame, path: str, columns: Sequence[str] = C.LISTING_COLUMNS, mode: str = "overwrite"
 ) -> None:
     """CSV with a fixed column order; other columns are left out."""
-    df.select(*columns).write.mode(mode).options(header=True, escape='"').csv(path)
+    df.select(*columns).write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -40,7 +45,7 @@ def write_by_city(
         out.repartition("city_file", spread)
         .write.partitionBy("city_file")
         .mode(mode)
-        .options(header=True, escape='"')
+        .options(**CSV_OPTIONS)
         .csv(path)
     )
 
