@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentalytics import constants as C
+from rentalytics.functions import html as H
 from rentalytics.functions import scalars as X
 from rentalytics.operators import benchmark as A
 from rentalytics.operators import cleaning as K
 from rentalytics.operators import dashboard as D
 from rentalytics.operators import imputation as I
+from rentalytics.operators import pages as P
 from rentalytics.operators import statistics as S
 from rentalytics.operators import warehouse as W
 from rentalytics.operators.quantiles import quantiles
@@ -26,7 +28,7 @@ from rentalytics.runtime import stage_path
 from rentalytics.sources import readers as R
 from rentalytics.sources import writers as O
 from rentalytics.sources.binding import (
-    listings, listings_with_gaps, source_a, source_b, table,
+    listing_pages, listings, listings_with_gaps, source_a, source_b, table,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -297,6 +299,76 @@ DASHBOARD: dict[str, Query] = {
         "guest_satisfaction_overall", D.satisfaction_gauge, "avg_satisfaction"),
     "price_box": _cols(_PRICE, lambda df: S.box_stats(df, "realSum", "room_type"), "q1 median q3"),
 }
+
+
+def _raw_pages(step: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf: step(table(spark, sf, "pages"))
+
+
+def _listing_pages(step: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf: step(listing_pages(spark, sf))
+
+
+def _good(step: Callable[[DataFrame], DataFrame], source=_listing_pages) -> Query:
+    """Parsed pages without error pages, with lower-case ``text``."""
+    return source(lambda df: step(
+        P.drop_error_pages(P.page_text(df)).withColumn("text", F.lower("page_text"))))
+
+
+def _fields(**columns: Column) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: df.select("page_id", *[c.alias(n) for n, c in columns.items()])
+
+
+def _deep_find(df: DataFrame) -> DataFrame:
+    return P.found_json(df).select("page_id", F.inline("found")).select(
+        "page_id", "beds", "bedrooms", "room_type", "name").distinct()
+
+
+PAGES: dict[str, Query] = {
+    "listing_urls": _listing_pages(P.listing_urls),
+    "listing_urls_pages": _raw_pages(lambda df: P.listing_urls(df, "/")),
+    "listing_urls_capped": _raw_pages(lambda df: P.listing_urls(df, "/", n=3)),
+    "search_prices": _listing_pages(P.search_prices),
+    "with_currency": _raw_pages(lambda df: df.select("url", H.with_currency("url").alias("priced_url"))),
+    "page_listing_id": lambda spark, sf: listing_pages(spark, sf).select("url").unionAll(
+        table(spark, sf, "pages").select("url")).withColumn("listing_key", P.page_listing_id()),
+    "drop_error_pages": _good(lambda df: df.select("page_id", "title")),
+    "page_text": _raw_pages(lambda df: P.page_text(df).select(
+        "page_id", "title", "h1", "page_text", "scripts")),
+    "page_city": _good(lambda df: df.select("page_id", P.page_city("Stays").alias("city"))),
+    "page_city_pages": _raw_pages(lambda df: P.page_text(df).select(
+        "page_id", P.page_city("Stays").alias("city"))),
+    "room_type_text": _good(lambda df: df.select("page_id", P.room_type_text(
+        F.col("text"), F.lower("h1")).alias("room_type"))),
+    "room_type_full": _good(lambda df: P.found_json(df).select(
+        "page_id", P.room_type_full(F.col("found")).alias("room_type"))),
+    "page_json": _listing_pages(lambda df: df.select(
+        "page_id", F.size(H.page_json("html")).alias("n_json"))),
+    "deep_find": _listing_pages(_deep_find),
+    "room_counts": _good(lambda df: _fields(**P.room_counts(F.col("text")))(df)),
+    "beds_bedrooms": _good(lambda df: _fields(
+        **P.beds_bedrooms(F.col("found"), F.col("text")))(P.found_json(df))),
+    "page_coordinates": _good(lambda df: df.select(
+        "page_id", P.page_coordinates(F.col("scripts"), F.col("html")).alias("p")
+    ).select("page_id", "p.lat", "p.lng")),
+    "price_text": _good(lambda df: df.select(
+        "page_id", P.price_text(F.col("text")).alias("price"))),
+    "price_full": _good(lambda df: df.select("page_id", P.price_full(
+        F.col("html"), F.col("scripts"), F.col("text")).alias("price"))),
+    "review_count": _good(lambda df: df.select(
+        "page_id", P.review_count(F.col("text")).alias("review_count"))),
+    "page_ratings": _good(lambda df: _fields(
+        **P.page_ratings(F.col("html"), F.col("text")))(df)),
+    "page_flags": _good(lambda df: _fields(**P.page_flags(F.col("text"), F.col("html")))(df)),
+    "page_flags_pages": _good(lambda df: _fields(**P.page_flags(F.col("text")))(df), _raw_pages),
+    "page_flags_strict": _good(lambda df: _fields(
+        **P.page_flags(F.col("text"), strict_words=True))(df), _raw_pages),
+    "weekend_stay": lambda spark, sf: table(spark, sf, "orders").select(
+        "o_orderkey", *[c.alias(n) for n, c in P.weekend_stay(F.to_date("o_orderdate")).items()],
+        P.per_night("o_totalprice").alias("price_per_night")),
+    "extract_listings": _listing_pages(P.extract_listings),
+}
 QUERIES: dict[str, Query] = {
     **ANALYSES, **WAREHOUSE, **SOURCES, **CLEANING, **IMPUTATION, **STATISTICS, **DASHBOARD,
+    **PAGES,
 }
