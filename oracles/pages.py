@@ -243,3 +243,8 @@ SQL["search_prices"] = with_(LP, _SRC_LP, links("/rooms/"), body=f"""
 select page_id, placed.url,
  case when position = 0 and {whole(_PRICED)} > 5 and {whole(_PRICED)} < 50000 then {whole(_PRICED)} end as search_price
 from placed join listing_pages using (page_id)""")
+
+SQL["ingest_city_files"] = with_(LP, parsed("listing_pages"), _RECORDS, f"""kept as (
+ select {_SELECT} from records where beds is not null or room_type is not null)""", body=f"""
+select * from kept qualify row_number() over (partition by url order by
+ realSum nulls first, room_type nulls first) = 1""")

@@ -161,4 +161,10 @@ select {r6('avg(guest_satisfaction_overall)')} as avg_satisfaction,
   when avg(guest_satisfaction_overall) < 80 then '50–80' else '80–100' end as gauge_band from listings"""),
     "price_box": listings(box_rows("realSum", "room_type", "listings"),
                           box("realSum", "room_type", "listings")),
+    "what_if_base_rows": listings("""
+select city, arg_min(room_type, listing_id) as room_type,
+ arg_min(person_capacity, listing_id) as person_capacity,
+ arg_min(cleanliness_rating, listing_id) as cleanliness_rating,
+ arg_min(dist, listing_id) as dist, arg_min(is_weekend, listing_id) as is_weekend
+from listings group by city"""),
 }

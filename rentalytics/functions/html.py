@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -15,10 +15,27 @@ from rentalytics import constants as C
 from rentalytics.functions.scalars import _col
 
 
+# --- evaluate once --------------------------------------------------------------
+# A page field is costly, and a column expression used twice may be computed twice.
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed a single time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def keep_if(value: Column, test: Callable[[Column], Column]) -> Column:
+    """The value where it passes the test, else null; computed a single time."""
+    return F.get(F.filter(F.array(value), test), F.lit(0))
+
+
 # --- text -----------------------------------------------------------------------
+def capture(text: str | Column, pattern: str, group: int = 1) -> Column:
+    """Capture of the first match, empty without one."""
+    return F.regexp_extract(_col(text), pattern, group)
+
+
 def found(text: str | Column, pattern: str, group: int = 1) -> Column:
     """Capture of the first match, null without one."""
-    return F.nullif(F.regexp_extract(_col(text), pattern, group), F.lit(""))
+    return keep_if(capture(text, pattern, group), lambda x: x != "")
 
 
 def all_found(text: str | Column, pattern: str, group: int = 1) -> Column:
@@ -26,9 +43,9 @@ def all_found(text: str | Column, pattern: str, group: int = 1) -> Column:
 
 
 def unescape(text: str | Column) -> Column:
-    return reduce(
-        lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), C.ENTITIES.items(), _col(text)
-    )
+    pairs = ", ".join(f"""struct("{e}" as code, {c!r} as char)""" for e, c in C.ENTITIES.items())
+    return F.aggregate(
+        F.expr(f"array({pairs})"), _col(text), lambda t, e: F.replace(t, e["code"], e["char"]))
 
 
 def plain(html: str | Column) -> Column:
@@ -52,7 +69,7 @@ def element(html: str | Column, tag: str) -> Column:
 
 def elements(html: str | Column, tag: str) -> Column:
     inner = all_found(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>")
-    return F.transform(inner, plain)
+    return F.transform(inner, lambda x: plain(x))
 
 
 def script_text(html: str | Column) -> Column:
@@ -76,6 +93,7 @@ def has_any(text: str | Column, words: Sequence[str], strict_words: bool = False
 
 
 # --- numbers --------------------------------------------------------------------
+# A missing match is an empty text, which reads as null.
 def whole(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit("")).try_cast("int")
 
@@ -86,12 +104,12 @@ def number(text: Column) -> Column:
 
 def within(value: Column, low: float, high: float) -> Column:
     """The value if strictly between the limits."""
-    return F.when((value > low) & (value < high), value)
+    return keep_if(value, lambda x: (x > low) & (x < high))
 
 
 def first_count(text: str | Column, patterns: Sequence[str]) -> Column:
     """First pattern with a match; a count of 0 is no count."""
-    return F.coalesce(*[F.nullif(whole(found(text, p)), F.lit(0)) for p in patterns])
+    return F.coalesce(*[keep_if(whole(capture(text, p)), lambda x: x != 0) for p in patterns])
 
 
 # --- urls -----------------------------------------------------------------------
@@ -107,7 +125,7 @@ def site_of(url: str | Column) -> Column:
     return F.regexp_extract(_col(url), r"^(https?://[^/?#]+)", 1)
 
 
-def spaced(name: Column) -> Column:
+def readable(name: Column) -> Column:
     return F.initcap(F.replace(F.replace(name, F.lit("-"), F.lit(" ")), F.lit("%20"), F.lit(" ")))
 
 
@@ -119,7 +137,7 @@ def page_json(html: str | Column) -> Column:
 
     def scripts(attribute: str) -> Column:
         pattern = rf'(?s)<script[^>]*{attribute}[^>]*>(.*?)</script>'
-        return F.transform(all_found(html, pattern), F.trim)
+        return F.transform(all_found(html, pattern), lambda x: F.trim(x))
 
     objects = F.filter(
         scripts(f'type="{other}"'), lambda x: x.startswith("{") & x.endswith("}")

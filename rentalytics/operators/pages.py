@@ -56,7 +56,7 @@ def search_prices(pages: DataFrame, path: str = "/rooms/", n: int | None = None)
     texts = F.slice(
         F.transform(H.all_found("html", C.SEARCH_PRICE_ELEMENT), H.plain), 1, F.size(links) * 2)
     low, high = C.PRICE_RANGE
-    values = F.transform(texts, lambda x: H.whole(H.found(x, r"\$(\d+)")))
+    values = F.transform(texts, lambda x: H.whole(H.capture(x, r"\$(\d+)")))
     prices = F.filter(values, lambda x: (x > low) & (x < high))
     pairs = F.transform(links, lambda x, i: F.struct(
         x.alias("url"), F.get(prices, i).alias("search_price")))
@@ -72,25 +72,32 @@ def page_listing_id(url: str | Column = "url") -> Column:
 
 # --- page parts -----------------------------------------------------------------
 def page_text(pages: DataFrame) -> DataFrame:
-    """Adds title, h1, h2 (array), page_text and scripts."""
+    """Adds title, h1, h2 (array), page_text, its lower-case form text, and scripts."""
     return pages.withColumns({
         "title": H.element("html", "title"),
         "h1": H.element("html", "h1"),
         "h2": H.elements("html", "h2"),
         "page_text": H.visible_text("html"),
         "scripts": H.script_text("html"),
-    })
+    }).withColumn("text", F.lower("page_text"))
+
 
+def drop_error_pages(pages: DataFrame) -> DataFrame:
+    """Without pages whose title or first heading reports an error.
 
-def drop_error_pages(parsed: DataFrame) -> DataFrame:
-    title, h1 = F.lower("title"), F.lower("h1")
-    return parsed.filter(
-        ~(title.contains("oops") | title.contains("not found") | h1.contains("oops")))
+    Looks at the raw page, so that it runs before any page is parsed.
+    """
+    title, h1 = [
+        F.lower(H.capture("html", rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>")) for tag in ("title", "h1")
+    ]
+    return pages.filter(
+        ~H.once(title, lambda t: t.contains("oops") | t.contains("not found"))
+        & ~h1.contains("oops"))
 
 
 # --- fields ---------------------------------------------------------------------
 def city_from_url(url: str | Column = "url") -> Column:
-    return H.spaced(F.coalesce(
+    return H.readable(F.coalesce(
         H.found(url, r"/s/([^/]+)/homes"), H.found(url, r"/rooms/.*[?&].*city=([^&]+)")))
 
 
@@ -140,6 +147,10 @@ def _named_room(name: Column) -> Column:
     )
 
 
+def _first(labels: Column) -> Column:
+    return F.get(F.filter(labels, lambda x: x.isNotNull()), F.lit(0))
+
+
 def _phrased_room(text: Column, entire: Sequence[str], private: Sequence[str] = ("private room",),
                   shared: str = "shared room", hotel: str = "hotel room") -> Column:
     return (
@@ -151,12 +162,11 @@ def _phrased_room(text: Column, entire: Sequence[str], private: Sequence[str] =
 
 
 def _json_room(found: Column) -> Column:
-    named = F.filter(F.transform(found, lambda x: x["room_type"]), lambda x: x.isNotNull())
     entire = ("entire place", "entire home", "entire apartment")
+    named = F.transform(found, lambda x: _named_room(x["room_type"]))
     texts = F.flatten(F.transform(found, lambda x: F.array(*[x[k] for k in C.TEXT_KEYS])))
-    phrased = F.filter(
-        F.transform(texts, lambda x: _phrased_room(F.lower(x), entire)), lambda x: x.isNotNull())
-    return F.coalesce(_named_room(F.get(named, F.lit(0))), F.get(phrased, F.lit(0)))
+    phrased = F.transform(texts, lambda x: _phrased_room(F.lower(x), entire))
+    return F.coalesce(_first(named), _first(phrased))
 
 
 def _heading_room(h2: Column) -> Column:
@@ -170,23 +180,25 @@ def _heading_room(h2: Column) -> Column:
             .when(t.contains("hotel room"), F.lit("Hotel room"))
         )
 
-    labels = F.filter(F.transform(h2, label), lambda x: x.isNotNull())
-    return F.get(labels, F.lit(0))
+    return _first(F.transform(h2, label))
 
 
 def _source_room(html: Column, chars: int | None = C.HTML_HEAD) -> Column:
-    top = F.lower(H.head(html, chars))
-    return F.when(top.contains("room in"), F.lit("Private room")).otherwise(
-        _phrased_room(top, ("entire home", "entire apartment", "entire place"),
-                      private=("private room in",), shared="shared room in"))
+    def label(top: Column) -> Column:
+        return F.when(top.contains("room in"), F.lit("Private room")).otherwise(
+            _phrased_room(top, ("entire home", "entire apartment", "entire place"),
+                          private=("private room in",), shared="shared room in"))
 
+    return H.once(F.lower(H.head(html, chars)), label)
 
-def room_type_full(found: Column, chars: int | None = C.ROOM_HEAD) -> Column:
-    """Embedded JSON, then second headings, then page source, then page text."""
-    top = H.head(F.lower("page_text"), chars)
+
+def room_type_full(
+    found: Column, text: Column, html: Column, h2: Column, chars: int | None = C.ROOM_HEAD
+) -> Column:
+    """Embedded JSON, then second headings, then page source, then (lower-case) page text."""
     return F.coalesce(
-        _json_room(found), _heading_room(F.col("h2")), _source_room(F.col("html")),
-        _phrased_room(top, ("entire home", "entire apartment")),
+        _json_room(found), _heading_room(h2), _source_room(html),
+        H.once(H.head(text, chars), lambda t: _phrased_room(t, ("entire home", "entire apartment"))),
     )
 
 
@@ -196,15 +208,14 @@ def room_counts(text: Column) -> dict[str, Column]:
         "person_capacity": C.GUESTS_PATTERN, "bedrooms": C.BEDROOMS_PATTERN,
         "beds": C.BEDS_PATTERN, "bathrooms": C.BATHS_PATTERN,
     }
-    return {n: H.whole(H.found(text, p)) for n, p in patterns.items()}
+    return {n: H.whole(H.capture(text, p)) for n, p in patterns.items()}
 
 
 def beds_bedrooms(found: Column, text: Column) -> dict[str, Column]:
     """From JSON, else from the text; 0 counts as missing."""
     def count(name: str, patterns: Sequence[str]) -> Column:
-        values = F.filter(F.transform(found, lambda x: x[name]), lambda x: x.isNotNull())
-        return F.coalesce(
-            F.nullif(F.get(values, F.lit(0)), F.lit(0)), H.first_count(text, patterns))
+        value = _first(F.transform(found, lambda x: x[name]))
+        return F.coalesce(H.keep_if(value, lambda x: x != 0), H.first_count(text, patterns))
 
     return {
         "beds": count("beds", C.BED_LINE_PATTERNS),
@@ -216,11 +227,12 @@ def page_coordinates(scripts: Column, html: Column) -> Column:
     """(lat, lng) of the first pair of patterns that both match and are not near zero."""
     def pair(text: Column, lat_key: str, lng_key: str, prefix: str = "") -> Column:
         lat, lng = [
-            H.number(H.found(text, f'{prefix}"{k}"{C.COORDINATE_NUMBER}'))
+            H.number(H.capture(text, f'{prefix}"{k}"{C.COORDINATE_NUMBER}'))
             for k in (lat_key, lng_key)
         ]
-        valid = (F.abs(lat) > 0.1) & (F.abs(lng) > 0.1)
-        return F.when(valid, F.struct(lat.alias("lat"), lng.alias("lng")))
+        return H.keep_if(
+            F.struct(lat.alias("lat"), lng.alias("lng")),
+            lambda x: (F.abs(x["lat"]) > 0.1) & (F.abs(x["lng"]) > 0.1))
 
     plain, longer = C.COORDINATE_KEYS
     return F.coalesce(
@@ -233,8 +245,8 @@ def page_coordinates(scripts: Column, html: Column) -> Column:
 def price_text(text: Column, chars: int | None = C.PRICE_HEAD) -> Column:
     """Price per night, else the first amount in the head of the page."""
     return F.coalesce(
-        H.whole(H.found(text, C.NIGHT_PRICE_PATTERN)),
-        H.whole(H.found(H.head(text, chars), C.ANY_PRICE_PATTERN)),
+        H.whole(H.capture(text, C.NIGHT_PRICE_PATTERN)),
+        H.whole(H.capture(H.head(text, chars), C.ANY_PRICE_PATTERN)),
     )
 
 
@@ -243,45 +255,46 @@ def price_full(html: Column, scripts: Column, text: Column) -> Column:
     lie outside the usual range."""
     low, high = C.PRICE_RANGE
     shown = [
-        H.within(H.whole(H.found(H.plain(H.found(html, p)), r"([\d,]+)")), low, high)
+        H.within(H.whole(H.capture(H.plain(H.capture(html, p)), r"([\d,]+)")), low, high)
         for p in C.PRICE_ELEMENTS
     ]
-    stated = H.whole(H.found(H.found(scripts, C.PRICE_STRING_PATTERN), r"([\d,]+)"))
-    phrases = [H.within(H.whole(H.found(text, p)), low, high) for p in C.TEXT_PRICE_PATTERNS]
+    stated = H.whole(H.capture(H.capture(scripts, C.PRICE_STRING_PATTERN), r"([\d,]+)"))
+    phrases = [H.within(H.whole(H.capture(text, p)), low, high) for p in C.TEXT_PRICE_PATTERNS]
     return F.coalesce(*shown, stated, *phrases)
 
 
 def review_count(text: Column) -> Column:
-    return H.whole(H.found(text, C.REVIEWS_PATTERN))
+    return H.whole(H.capture(text, C.REVIEWS_PATTERN))
 
 
 def page_ratings(html: Column, text: Column) -> dict[str, Column]:
     """Overall rating (label first, then phrases) and cleanliness, on the 5 scale."""
-    label = H.number(H.found(H.found(html, C.RATING_LABEL_PATTERN), r"([\d.]+)"))
-    phrases = [H.number(H.found(text, p)) for p in C.RATING_PATTERNS]
-    clean = H.number(H.found(text, C.CLEANLINESS_PATTERN))
+    label = H.capture(H.capture(html, C.RATING_LABEL_PATTERN), r"([\d.]+)")
+    options = [label, *[H.capture(text, p) for p in C.RATING_PATTERNS]]
+    clean = H.number(H.capture(text, C.CLEANLINESS_PATTERN))
     return {
         "guest_satisfaction_overall": F.coalesce(
-            F.when((label > 0) & (label <= 5), label),
-            *[F.when((v > 0) & (v <= 5), v) for v in phrases]),
-        "cleanliness_rating": F.when(clean <= 5, clean),
+            *[H.keep_if(H.number(v), lambda x: (x > 0) & (x <= 5)) for v in options]),
+        "cleanliness_rating": H.keep_if(clean, lambda x: x <= 5),
     }
 
 
+def amenity_text(html: Column, text: Column) -> Column:
+    """Lower-case text of the amenity rows if the page has any, else the whole text."""
+    rows = [
+        F.lower(F.concat_ws(" ", F.transform(H.all_found(html, p), H.plain)))
+        for p in C.AMENITY_ELEMENTS
+    ]
+    return F.coalesce(*[H.keep_if(r, lambda x: x != "") for r in rows], text)
+
+
 def page_flags(
-    text: Column, html: Column | None = None, strict_words: bool = False,
+    text: Column, amenities: Column | None = None, strict_words: bool = False,
     chars: int | None = C.FLAG_HEAD,
 ) -> dict[str, Column]:
-    """Host, multi and business flags, and the six amenities.
-
-    Amenities are looked for in the amenity rows of the page if it has any, else in the
-    whole text.
-    """
+    """Host, multi and business flags, and the six amenities (see ``amenity_text``)."""
     top = H.head(text, chars)
-    where = text
-    if html is not None:
-        rows = [F.concat_ws(" ", F.transform(H.all_found(html, p), H.plain)) for p in C.AMENITY_ELEMENTS]
-        where = F.coalesce(*[F.nullif(F.lower(r), F.lit("")) for r in rows], text)
+    where = text if amenities is None else amenities
     return {
         "host_is_superhost": H.has_any(text, ("superhost",), strict_words),
         "multi": H.has_any(top, C.MULTI_WORDS, strict_words),
@@ -319,26 +332,29 @@ def extract_listings(
     A page without beds and room type is dropped, as are error pages. ``search`` holds
     (url, search_price) with one row per url and fills prices the page does not state.
     """
-    parsed = drop_error_pages(page_text(pages)).withColumn("text", F.lower("page_text"))
-    parsed = found_json(parsed)
-    text, found, html = F.col("text"), F.col("found"), F.col("html")
-    room = room_type_full(found)
+    parsed = found_json(page_text(drop_error_pages(pages))).withColumn(
+        "amenities", amenity_text(F.col("html"), F.col("text")))
+    text, found, html, scripts = (F.col(c) for c in ("text", "found", "html", "scripts"))
     counts = room_counts(text)
     fields = {
         "listing_key": page_listing_id(),
-        "realSum": price_full(html, F.col("scripts"), text),
-        "room_type": room,
+        "realSum": price_full(html, scripts, text),
+        "room_type": room_type_full(found, text, html, F.col("h2")),
         "person_capacity": counts["person_capacity"],
         "bathrooms": counts["bathrooms"],
         "review_count": review_count(text),
         "city": page_city(site_name, search_city),
-        "position": page_coordinates(F.col("scripts"), html),
+        "position": page_coordinates(scripts, html),
         **beds_bedrooms(found, text),
         **page_ratings(html, text),
-        **page_flags(text, html, strict_words),
+        **page_flags(text, F.col("amenities"), strict_words),
     }
-    out = parsed.select("page_id", "url", *[c.alias(n) for n, c in fields.items()])
-    out = out.filter(F.col("beds").isNotNull() | F.col("room_type").isNotNull()).withColumns({
+    # The record is built inside a generator, so that the test on it and the columns taken
+    # from it do not make Spark compute the fields again.
+    record = H.keep_if(
+        F.struct(*[c.alias(n) for n, c in fields.items()]),
+        lambda r: r["beds"].isNotNull() | r["room_type"].isNotNull())
+    out = parsed.select("page_id", "url", F.inline(F.array_compact(F.array(record)))).withColumns({
         "room_shared": F.coalesce(F.lower("room_type").contains("shared room"), F.lit(False)),
         "room_private": F.coalesce(F.lower("room_type").contains("private room"), F.lit(False)),
         "lat": F.col("position.lat"), "lng": F.col("position.lng"),

@@ -19,14 +19,16 @@ from rentalytics.operators import cleaning as K
 from rentalytics.operators import dashboard as D
 from rentalytics.operators import imputation as I
 from rentalytics.operators import pages as P
+from rentalytics.operators import pricing as M
 from rentalytics.operators import statistics as S
 from rentalytics.operators import warehouse as W
 from rentalytics.operators.quantiles import quantiles
 from rentalytics.plans import analyses as Q
 from rentalytics.plans.pipeline import clean_listings
-from rentalytics.runtime import stage_path
+from rentalytics.runtime import stage, stage_path
 from rentalytics.sources import readers as R
 from rentalytics.sources import writers as O
+from rentalytics.streaming.ingest import ingest_city_files, read_city_table
 from rentalytics.sources.binding import (
     listing_pages, listings, listings_with_gaps, source_a, source_b, table,
 )
@@ -40,12 +42,15 @@ def rounded(df: DataFrame, columns: str, digits: int = 6) -> DataFrame:
     })
 
 
-def _flat(analysis: Callable[[DataFrame], DataFrame], columns: str = "") -> Query:
-    return lambda spark, sf: rounded(analysis(listings(spark, sf)), columns)
+def _flat(
+    analysis: Callable[[DataFrame], DataFrame], columns: str = "", spread: bool = False
+) -> Query:
+    return lambda spark, sf: rounded(analysis(listings(spark, sf, spread=spread)), columns)
 
 
 def _star(analysis: Callable[[dict], DataFrame], columns: str = "") -> Query:
-    return lambda spark, sf: rounded(analysis(W.build_star(listings(spark, sf))), columns)
+    return lambda spark, sf: rounded(
+        analysis(W.build_star(listings(spark, sf, spread=True))), columns)
 
 
 _SCORE = "bench_avg diff_amount diff_percent"
@@ -90,10 +95,11 @@ WAREHOUSE: dict[str, Query] = {
     "dim_room_type": _flat(lambda df: W.build_dim(df, "dim_room_type")),
     "dim_amenities": _flat(lambda df: W.build_dim(df, "dim_amenities")),
     "dim_day": _flat(lambda df: W.build_dim(df, "dim_day")),
-    "fact_listings": _flat(W.build_fact),
-    "fact_listings_joined": _flat(lambda df: W.build_fact_joined(df, W.build_star(df))),
-    "keyed_listings": _flat(W.with_keys),
-    "check_star": _flat(lambda df: W.check_star(W.build_star(df))),
+    "fact_listings": _flat(W.build_fact, spread=True),
+    "fact_listings_joined": _flat(
+        lambda df: W.build_fact_joined(df, W.build_star(df)), spread=True),
+    "keyed_listings": _flat(W.with_keys, spread=True),
+    "check_star": _flat(lambda df: W.check_star(W.build_star(df)), spread=True),
 }
 
 
@@ -199,7 +205,7 @@ CLEANING: dict[str, Query] = {
 
 def _gaps(columns, missing, step, rounding: str = "") -> Query:
     return lambda spark, sf: rounded(
-        step(listings_with_gaps(spark, sf, columns, missing)), rounding)
+        step(listings_with_gaps(spark, sf, columns, missing, spread=True)), rounding)
 
 
 _ROOMS = (*I.ROOM_HELPERS, *C.ROOM_COUNTS)
@@ -306,13 +312,12 @@ def _raw_pages(step: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _listing_pages(step: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf: step(listing_pages(spark, sf))
+    return lambda spark, sf: step(listing_pages(spark, sf, spread=True))
 
 
 def _good(step: Callable[[DataFrame], DataFrame], source=_listing_pages) -> Query:
-    """Parsed pages without error pages, with lower-case ``text``."""
-    return source(lambda df: step(
-        P.drop_error_pages(P.page_text(df)).withColumn("text", F.lower("page_text"))))
+    """Parsed pages without error pages."""
+    return source(lambda df: step(P.page_text(P.drop_error_pages(df))))
 
 
 def _fields(**columns: Column) -> Callable[[DataFrame], DataFrame]:
@@ -341,7 +346,7 @@ PAGES: dict[str, Query] = {
     "room_type_text": _good(lambda df: df.select("page_id", P.room_type_text(
         F.col("text"), F.lower("h1")).alias("room_type"))),
     "room_type_full": _good(lambda df: P.found_json(df).select(
-        "page_id", P.room_type_full(F.col("found")).alias("room_type"))),
+        "page_id", P.room_type_full(*map(F.col, ("found", "text", "html", "h2"))).alias("room_type"))),
     "page_json": _listing_pages(lambda df: df.select(
         "page_id", F.size(H.page_json("html")).alias("n_json"))),
     "deep_find": _listing_pages(_deep_find),
@@ -359,7 +364,8 @@ PAGES: dict[str, Query] = {
         "page_id", P.review_count(F.col("text")).alias("review_count"))),
     "page_ratings": _good(lambda df: _fields(
         **P.page_ratings(F.col("html"), F.col("text")))(df)),
-    "page_flags": _good(lambda df: _fields(**P.page_flags(F.col("text"), F.col("html")))(df)),
+    "page_flags": _good(lambda df: _fields(**P.page_flags(F.col("text"), F.col("amenities")))(
+        df.withColumn("amenities", P.amenity_text(F.col("html"), F.col("text"))))),
     "page_flags_pages": _good(lambda df: _fields(**P.page_flags(F.col("text")))(df), _raw_pages),
     "page_flags_strict": _good(lambda df: _fields(
         **P.page_flags(F.col("text"), strict_words=True))(df), _raw_pages),
@@ -368,7 +374,69 @@ PAGES: dict[str, Query] = {
         P.per_night("o_totalprice").alias("price_per_night")),
     "extract_listings": _listing_pages(P.extract_listings),
 }
+
+
+def _model_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Training input, stored once: boosting reads it many times."""
+    return stage(listings(spark, sf, ("listing_id", "realSum", *M.FEATURES), spread=True), "model")
+
+
+def _train(spark: SparkSession, sf: str):
+    train, test = M.split_holdout(_model_data(spark, sf))
+    return M.train_price_model(train, trees=8, depth=4), train, test
+
+
+def train_price_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Importance of each model input."""
+    model, train, _ = _train(spark, sf)
+    weights = [float(w) for w in model.stages[-1].featureImportances.toArray()]
+    return spark.createDataFrame(list(zip(M.FEATURES, weights)), "feature string, importance double")
+
+
+def predict_price(spark: SparkSession, sf: str) -> DataFrame:
+    model, train, test = _train(spark, sf)
+    return M.predict_price(model, test).select("listing_id", "city", "room_type", "predicted_price")
+
+
+def what_if(spark: SparkSession, sf: str) -> DataFrame:
+    """Each city and room type, for two guests on a weekend."""
+    model, train, _ = _train(spark, sf)
+    scenarios = train.select("city", "room_type").distinct().select(
+        F.concat_ws("|", "city", "room_type").alias("scenario_id"), "city", "room_type",
+        F.lit(2).alias("person_capacity"), F.lit(9.0).alias("cleanliness_rating"),
+        F.lit(1).alias("is_weekend"))
+    return M.what_if(model, train, scenarios)
+
+
+def evaluate_price_model(spark: SparkSession, sf: str) -> DataFrame:
+    model, _, test = _train(spark, sf)
+    return M.evaluate(model, test)
+
+
+PRICING: dict[str, Query] = {
+    "train_price_model": train_price_model,
+    "predict_price": predict_price,
+    "what_if": what_if,
+    "evaluate_price_model": evaluate_price_model,
+    "what_if_base_rows": _cols(
+        "listing_id " + " ".join(M.FEATURES), M.base_rows),
+}
+
+
+def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Page records written as city files in two drops that share addresses, then streamed."""
+    records = P.extract_listings(listing_pages(spark, sf, spread=True))
+    records = stage(records.select(*C.CITY_FILE_COLUMNS), "records")
+    inbox = stage_path(spark, "inbox")
+    O.write_by_city(records, f"{inbox}/drop-1", files_per_city=2)
+    O.write_by_city(records.filter(F.col("beds") > 2), f"{inbox}/drop-2", files_per_city=1)
+    out, progress = stage_path(spark, "city-table"), stage_path(spark, "progress")
+    ingest_city_files(spark, inbox, out, progress).awaitTermination()
+    return read_city_table(spark, out)
+
+
+STREAMING: dict[str, Query] = {"ingest_city_files": ingest_stream}
 QUERIES: dict[str, Query] = {
     **ANALYSES, **WAREHOUSE, **SOURCES, **CLEANING, **IMPUTATION, **STATISTICS, **DASHBOARD,
-    **PAGES,
+    **PAGES, **PRICING, **STREAMING,
 }

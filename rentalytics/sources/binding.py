@@ -6,6 +6,7 @@ build exactly the same input. ``{weekday}`` and ``{id}`` are the two dialect slo
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,11 +59,21 @@ LISTING_RULES: dict[str, tuple[str, tuple[str, ...]]] = {
 SPARK_WEEKEND = "weekday(o_orderdate) >= 5"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One generic table.
 
+    A table that is a single local file is read by one task. ``spread`` deals its rows
+    out to all cores, for steps that cost far more than the read. A table in a folder of
+    files is read in parallel as it is and never dealt out.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if spread and os.path.isfile(path):
+        df = df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
-def joined(spark: SparkSession, sf_dir: str, needed: set[str]) -> DataFrame:
+
+def joined(spark: SparkSession, sf_dir: str, needed: set[str], spread: bool = False) -> DataFrame:
     """lineitem with only those lookup tables whose columns are asked for.
 
     Every foreign key has its row (checked by the tests), so a join left out changes
@@ -75,7 +86,7 @@ def joined(spark: SparkSession, sf_dir: str, needed: set[str]) -> DataFrame:
         needed.add("supplier")
     if "customer" in needed:
         needed.add("orders")
-    df = table(spark, sf_dir, "lineitem").withColumn(
+    df = table(spark, sf_dir, "lineitem", spread).withColumn(
         "l_cents", F.round(F.col("l_extendedprice") * 100).cast("long")
     )
     for name, on in (
@@ -91,11 +102,13 @@ def joined(spark: SparkSession, sf_dir: str, needed: set[str]) -> DataFrame:
     return df
 
 
-def listings(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
+def listings(
+    spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None, spread: bool = False
+) -> DataFrame:
     """The flat listing table, one row per lineitem."""
     names = list(columns or LISTING_RULES)
     needed = {t for n in names for t in LISTING_RULES[n][1]}
-    df = joined(spark, sf_dir, needed)
+    df = joined(spark, sf_dir, needed, spread)
 
     def rule(name: str):
         if name == "listing_id":
@@ -124,11 +137,12 @@ def gap_rule(name: str, gaps: Sequence[str]) -> str:
 
 
 def listings_with_gaps(
-    spark: SparkSession, sf_dir: str, columns: Sequence[str], gaps: Sequence[str]
+    spark: SparkSession, sf_dir: str, columns: Sequence[str], gaps: Sequence[str],
+    spread: bool = False,
 ) -> DataFrame:
     """Listings where the columns in ``gaps`` miss some values."""
     needed = {t for n in columns for t in LISTING_RULES[n][1]}
-    df = joined(spark, sf_dir, needed)
+    df = joined(spark, sf_dir, needed, spread)
     cols = [hash_id(*_LISTING_KEY, hex_digits=15).alias("listing_id")]
     cols += [
         F.expr(gap_rule(n, gaps).replace("{weekday}", SPARK_WEEKEND)).alias(n)
@@ -278,9 +292,9 @@ PAGE_RULES: dict[str, str] = {
 }
 
 
-def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def listing_pages(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """One raw listing page per order; the page kinds cover every extraction rule."""
-    orders = table(spark, sf_dir, "orders")
-    return orders.select([
-        F.expr(r.replace("{text}", "string")).alias(n) for n, r in PAGE_RULES.items()
-    ])
+    orders = table(spark, sf_dir, "orders", spread)
+    key, *fields = [F.expr(r.replace("{text}", "string")).alias(n) for n, r in PAGE_RULES.items()]
+    # A generator keeps the page text a stored value: filters on it do not rebuild it.
+    return orders.select(key, F.inline(F.array(F.struct(*fields))))
