@@ -130,20 +130,20 @@ ENTITIES = {
     "&euro;": "€", "&pound;": "£", "&yen;": "¥", "&copy;": "©", "&middot;": "·", "&bull;": "•",
     "&amp;": "&",
 }
-# Element patterns, tried in order; group 1 is the inner HTML.
-PRICE_ELEMENTS = (
-    r'(?is)<span[^>]*class="[^"]*\b_1y74zjx\b[^"]*"[^>]*>(.*?)</span>',
-    r'(?is)<span[^>]*class="[^"]*\b_tyxjp1\b[^"]*"[^>]*>(.*?)</span>',
-    r'(?is)<div[^>]*class="[^"]*\b_1jo4hgw\b[^"]*"[^>]*>.*?<span[^>]*>(.*?)</span>',
-    r'(?is)<span[^>]*class="[^"]*price[^"]*"[^>]*>(.*?)</span>',
-)
+# Elements tried in order, by a text the page must hold; group 1 is the inner HTML.
+PRICE_ELEMENTS = {
+    "_1y74zjx": r'(?is)<span[^>]*class="[^"]*\b_1y74zjx\b[^"]*"[^>]*>(.*?)</span>',
+    "_tyxjp1": r'(?is)<span[^>]*class="[^"]*\b_tyxjp1\b[^"]*"[^>]*>(.*?)</span>',
+    "_1jo4hgw": r'(?is)<div[^>]*class="[^"]*\b_1jo4hgw\b[^"]*"[^>]*>.*?<span[^>]*>(.*?)</span>',
+    "price": r'(?is)<span[^>]*class="[^"]*price[^"]*"[^>]*>(.*?)</span>',
+}
 SEARCH_PRICE_ELEMENT = (
     r'(?is)<span[^>]*class="[^"]*(?:\b_tyxjp1\b|price)[^"]*"[^>]*>(.*?)</span>'
 )
-AMENITY_ELEMENTS = (
-    r'(?is)<div[^>]*role="listitem"[^>]*>(.*?)</div>',
-    r'(?is)<div[^>]*data-testid="amenity-row"[^>]*>(.*?)</div>',
-)
+AMENITY_ELEMENTS = {
+    "listitem": r'(?is)<div[^>]*role="listitem"[^>]*>(.*?)</div>',
+    "amenity-row": r'(?is)<div[^>]*data-testid="amenity-row"[^>]*>(.*?)</div>',
+}
 RATING_LABEL_PATTERN = r'(?is)<span[^>]*aria-label="([^"]*rating[^"]*)"'
 COORDINATE_PREFIXES = ("", '"pdp_listing_detail".*?', "listing.*?", '"location".*?')
 ROOM_HEAD, PRICE_HEAD, FLAG_HEAD, HTML_HEAD = 2000, 5000, 3000, 1000

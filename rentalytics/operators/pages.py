@@ -255,8 +255,9 @@ def price_full(html: Column, scripts: Column, text: Column) -> Column:
     lie outside the usual range."""
     low, high = C.PRICE_RANGE
     shown = [
-        H.within(H.whole(H.capture(H.plain(H.capture(html, p)), r"([\d,]+)")), low, high)
-        for p in C.PRICE_ELEMENTS
+        F.when(html.contains(token), H.within(
+            H.whole(H.capture(H.plain(H.capture(html, p)), r"([\d,]+)")), low, high))
+        for token, p in C.PRICE_ELEMENTS.items()
     ]
     stated = H.whole(H.capture(H.capture(scripts, C.PRICE_STRING_PATTERN), r"([\d,]+)"))
     phrases = [H.within(H.whole(H.capture(text, p)), low, high) for p in C.TEXT_PRICE_PATTERNS]
@@ -269,7 +270,8 @@ def review_count(text: Column) -> Column:
 
 def page_ratings(html: Column, text: Column) -> dict[str, Column]:
     """Overall rating (label first, then phrases) and cleanliness, on the 5 scale."""
-    label = H.capture(H.capture(html, C.RATING_LABEL_PATTERN), r"([\d.]+)")
+    label = F.when(html.contains("aria-label"), H.capture(
+        H.capture(html, C.RATING_LABEL_PATTERN), r"([\d.]+)"))
     options = [label, *[H.capture(text, p) for p in C.RATING_PATTERNS]]
     clean = H.number(H.capture(text, C.CLEANLINESS_PATTERN))
     return {

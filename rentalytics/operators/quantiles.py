@@ -29,9 +29,8 @@ def quantiles(
 ) -> DataFrame:
     """One row per group with linearly interpolated quantiles; nulls are ignored."""
     df = df.select(*by, F.col(value).cast("double").alias("_v")).dropna()
-    groups = stage(df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
-    ), "quantile-groups")
+    groups = df.groupBy(*by).agg(
+        F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     largest = groups.agg(F.max("n")).first()[0] or 0
     if largest <= exact_rows:
         exact = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))

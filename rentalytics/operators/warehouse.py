@@ -94,24 +94,29 @@ def build_star(df: DataFrame, hex_digits: int = 10) -> dict[str, DataFrame]:
 def check_star(star: Mapping[str, DataFrame]) -> DataFrame:
     """(check_name, table_name, bad_keys, bad_rows), one row per constraint.
 
-    A duplicated dimension key is a hash collision of two attribute tuples. Keys are
-    counted before the anti join, so a hot foreign key arrives there as one row.
+    A duplicated dimension key is a hash collision of two attribute tuples. The fact is
+    read once: each row is unrolled to its keys, which are counted before the shuffle, so
+    a hot key arrives at the joins as one row.
     """
     fact = star[FACT]
-    reports = []
-
-    def report(check: str, table: str, bad: DataFrame) -> None:
-        reports.append(bad.agg(
-            F.lit(check).alias("check_name"), F.lit(table).alias("table_name"),
-            F.count("n").alias("bad_keys"),
-            F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("bad_rows"),
-        ))
-
-    for name, (key, _) in DIMENSIONS.items():
-        per_key = star[name].groupBy(key).agg(F.count("*").alias("n"))
-        report("primary_key", name, per_key.filter("n > 1"))
-        used = fact.groupBy(key).agg(F.count("*").alias("n"))
-        report("foreign_key", name, used.join(star[name].select(key), key, "left_anti"))
-    per_listing = fact.groupBy("listing_id").agg(F.count("*").alias("n"))
-    report("primary_key", FACT, per_listing.filter("n > 1"))
-    return reduce(DataFrame.unionAll, reports)
+    spark = fact.sparkSession
+    named = {**{n: key for n, (key, _) in DIMENSIONS.items()}, FACT: "listing_id"}
+    keys = F.array(*[
+        F.struct(F.lit(n).alias("table_name"), F.col(key).alias("key")) for n, key in named.items()
+    ])
+    used = fact.select(F.inline(keys)).groupBy("table_name", "key").agg(F.count("*").alias("n"))
+    dims = reduce(DataFrame.unionAll, [
+        star[n].select(F.lit(n).alias("table_name"), F.col(key).alias("key"))
+        for n, (key, _) in DIMENSIONS.items()
+    ]).groupBy("table_name", "key").agg(F.count("*").alias("n"))
+    is_fact = F.col("table_name") == FACT
+    doubled = dims.unionAll(used.filter(is_fact)).filter("n > 1")
+    orphans = used.filter(~is_fact).join(dims.drop("n"), ["table_name", "key"], "left_anti")
+    bad = doubled.select(F.lit("primary_key").alias("check_name"), "*").unionByName(
+        orphans.select(F.lit("foreign_key").alias("check_name"), "*"))
+    found = bad.groupBy("check_name", "table_name").agg(
+        F.count("*").alias("bad_keys"), F.sum("n").alias("bad_rows"))
+    checks = [(c, n) for n in DIMENSIONS for c in ("primary_key", "foreign_key")]
+    wanted = spark.createDataFrame(
+        [*checks, ("primary_key", FACT)], "check_name string, table_name string")
+    return wanted.join(found, ["check_name", "table_name"], "left").na.fill(0)

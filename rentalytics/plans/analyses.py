@@ -17,7 +17,7 @@ from rentalytics.functions.scalars import (
     avg_if, difference, flag_count, grid_cell, int_avg, percent_difference, weighted_score,
 )
 from rentalytics.operators.benchmark import (
-    base, dense_rank_in, feature_impact as impact, min_group, score, top_n,
+    base, dense_rank_in, feature_impact as impact, min_group, score, star_benchmark, top_n,
 )
 from rentalytics.runtime import stage
 
@@ -25,13 +25,19 @@ Source = DataFrame | Mapping[str, DataFrame]
 _QUALITY = ("cleanliness_rating", "guest_satisfaction_overall")
 
 
+def _scored(source: Source, df: DataFrame, min_n: int) -> DataFrame:
+    """Listings against the average price of their city and room type."""
+    bench = None if isinstance(source, DataFrame) else star_benchmark(source)
+    return score(df, min_n=min_n, bench=bench)
+
+
 def listing_score(source: Source, min_n: int = C.MIN_BENCHMARK, n: int = 200) -> DataFrame:
     """Listings furthest above the benchmark of their city and room type."""
     df = base(source, (
         "listing_id", "city", "country", "room_type", "realSum", *_QUALITY, "person_capacity",
         "bedrooms", "dist", "metro_dist", "is_weekend", "host_is_superhost", *C.AMENITIES,
     ))
-    scored = score(df, min_n=min_n).withColumns({
+    scored = _scored(source, df, min_n).withColumns({
         "amenity_count": flag_count(),
         "dist_bucket": S.dist_bucket(),
         "metro_bucket": S.metro_bucket(),
@@ -49,7 +55,7 @@ def segment_dashboard(
         "metro_dist", *C.AMENITIES,
     ))
     keys = ("country", "city", "room_type", "dist_bucket", "metro_bucket", "is_weekend")
-    scored = score(df, min_n=min_n).withColumns({
+    scored = _scored(source, df, min_n).withColumns({
         "dist_bucket": S.dist_bucket(),
         "metro_bucket": S.metro_bucket(),
         "amenity_count": flag_count(),
@@ -72,7 +78,7 @@ def _deals(source: Source, min_n: int) -> DataFrame:
     df = base(source, (
         "listing_id", "city", "country", "room_type", "realSum", *_QUALITY, *C.AMENITIES,
     ))
-    return score(df, min_n=min_n).withColumn("amenity_count", flag_count())
+    return _scored(source, df, min_n).withColumn("amenity_count", flag_count())
 
 
 def _deal_columns(df: DataFrame, label: str) -> DataFrame:
@@ -141,7 +147,7 @@ def feature_impact(
         "city", "room_type", "room_shared", "room_private", "host_is_superhost", "is_weekend",
         "biz", "multi", *C.AMENITIES, "attr_index_norm", "rest_index_norm", "realSum",
     ))
-    scored = score(df, min_n=min_n).withColumn("amenity_count", flag_count())
+    scored = _scored(source, df, min_n).withColumn("amenity_count", flag_count())
     groups = impact(scored, {
         "segment_biz_multi": S.biz_multi_segment(),
         "privacy_segment": S.privacy_segment(),

@@ -24,7 +24,7 @@ from rentalytics.operators import statistics as S
 from rentalytics.operators import warehouse as W
 from rentalytics.operators.quantiles import quantiles
 from rentalytics.plans import analyses as Q
-from rentalytics.plans.pipeline import clean_listings
+from rentalytics.plans.pipeline import clean_listings, store_star
 from rentalytics.runtime import stage, stage_path
 from rentalytics.sources import readers as R
 from rentalytics.sources import writers as O
@@ -42,15 +42,14 @@ def rounded(df: DataFrame, columns: str, digits: int = 6) -> DataFrame:
     })
 
 
-def _flat(
-    analysis: Callable[[DataFrame], DataFrame], columns: str = "", spread: bool = False
-) -> Query:
-    return lambda spark, sf: rounded(analysis(listings(spark, sf, spread=spread)), columns)
+def _flat(analysis: Callable[[DataFrame], DataFrame], columns: str = "") -> Query:
+    return lambda spark, sf: rounded(analysis(listings(spark, sf, spread=True)), columns)
 
 
 def _star(analysis: Callable[[dict], DataFrame], columns: str = "") -> Query:
+    """On star tables that are built and stored first, as in the batch pipeline."""
     return lambda spark, sf: rounded(
-        analysis(W.build_star(listings(spark, sf, spread=True))), columns)
+        analysis(store_star(listings(spark, sf, spread=True))), columns)
 
 
 _SCORE = "bench_avg diff_amount diff_percent"
@@ -95,11 +94,10 @@ WAREHOUSE: dict[str, Query] = {
     "dim_room_type": _flat(lambda df: W.build_dim(df, "dim_room_type")),
     "dim_amenities": _flat(lambda df: W.build_dim(df, "dim_amenities")),
     "dim_day": _flat(lambda df: W.build_dim(df, "dim_day")),
-    "fact_listings": _flat(W.build_fact, spread=True),
-    "fact_listings_joined": _flat(
-        lambda df: W.build_fact_joined(df, W.build_star(df)), spread=True),
-    "keyed_listings": _flat(W.with_keys, spread=True),
-    "check_star": _flat(lambda df: W.check_star(W.build_star(df)), spread=True),
+    "fact_listings": _flat(W.build_fact),
+    "fact_listings_joined": _flat(lambda df: W.build_fact_joined(df, W.build_star(df))),
+    "keyed_listings": _flat(W.with_keys),
+    "check_star": _star(W.check_star),
 }
 
 
@@ -229,7 +227,10 @@ IMPUTATION: dict[str, Query] = {
 
 
 def _cols(columns: str, step: Callable[[DataFrame], DataFrame], rounding: str = "", digits: int = 6) -> Query:
-    return lambda spark, sf: rounded(step(listings(spark, sf, columns.split())), rounding, digits)
+    names = columns.split()
+    hashed = "listing_id" in names  # worth all cores
+    return lambda spark, sf: rounded(
+        step(listings(spark, sf, names, spread=hashed)), rounding, digits)
 
 
 def _events(step: Callable[[DataFrame], DataFrame], rounding: str = "") -> Query:
