@@ -54,7 +54,7 @@ def search_prices(pages: DataFrame, path: str = "/rooms/", n: int | None = None)
     """
     links = page_links(path, n)
     texts = F.slice(
-        F.transform(H.all_found("html", C.SEARCH_PRICE_ELEMENT), H.plain), 1, F.size(links) * 2)
+        F.transform(H.all_found("html", C.SEARCH_PRICE_ELEMENT), lambda x: H.plain(x)), 1, F.size(links) * 2)
     low, high = C.PRICE_RANGE
     values = F.transform(texts, lambda x: H.whole(H.capture(x, r"\$(\d+)")))
     prices = F.filter(values, lambda x: (x > low) & (x < high))
@@ -283,11 +283,12 @@ def page_ratings(html: Column, text: Column) -> dict[str, Column]:
 
 def amenity_text(html: Column, text: Column) -> Column:
     """Lower-case text of the amenity rows if the page has any, else the whole text."""
-    rows = [
-        F.lower(F.concat_ws(" ", F.transform(H.all_found(html, p), H.plain)))
-        for p in C.AMENITY_ELEMENTS
-    ]
-    return F.coalesce(*[H.keep_if(r, lambda x: x != "") for r in rows], text)
+    def rows(pattern: str) -> Column:
+        texts = F.transform(H.all_found(html, pattern), lambda x: H.plain(x))
+        return H.keep_if(F.lower(F.concat_ws(" ", texts)), lambda x: x != "")
+
+    found = [F.when(html.contains(token), rows(p)) for token, p in C.AMENITY_ELEMENTS.items()]
+    return F.coalesce(*found, text)
 
 
 def page_flags(
