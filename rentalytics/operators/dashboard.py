@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentalytics.functions.segments import gauge_band
 from rentalytics.operators.quantiles import EXACT_ROWS, quantiles
 from rentalytics.operators.sampling import hash_sample
 from rentalytics.operators.statistics import box_stats
+from rentalytics.runtime import stage
 
 
 @dataclass(frozen=True)
@@ -117,12 +118,12 @@ def kpis(df: DataFrame, spec: FilterSpec = FilterSpec(), bounds: tuple[float, fl
 def value_share(df: DataFrame, col: str) -> DataFrame:
     """(value, n, share), most frequent first; nulls are not counted.
 
-    The share window runs over one row per value, after the aggregation.
+    The counts are stored, so that their total does not read the data again.
     """
-    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(
-        F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))
-    return counts.withColumn("share", share).orderBy(F.desc("n"), "value")
+    counts = stage(df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(
+        F.count("*").alias("n")), "value-counts")
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.withColumn("share", F.col("n") / total).orderBy(F.desc("n"), "value")
 
 
 def _mean_price(df: DataFrame, col: str) -> DataFrame:

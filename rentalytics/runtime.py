@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # A lookup side is broadcast only after its row count was measured below this bound.
 BROADCAST_ROWS = 200_000
 SALTS = 32
+_local_dirs: dict[str, str] = {}  # application -> folder, for local masters only
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -41,9 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="rentalytics-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="rentalytics-")
+    return _local_dirs[app]
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
