@@ -121,7 +121,7 @@ def listings(
 # --- listings with gaps (imputation input) ------------------------------------
 # column -> condition under which the value is missing
 GAP_RULES: dict[str, str] = {
-    **{a: f"(l_orderkey + {i}) % 5 = 0" for i, a in enumerate(C.AMENITIES)},
+    **{a: f"(l_orderkey + {i}) % 17 = 0" for i, a in enumerate(C.AMENITIES)},
     **{m: "l_suppkey % 4 = 0" for m in C.DISTANCE_MEASURES},
     "bedrooms": "l_partkey % 7 = 0",
     "beds": "l_partkey % 5 = 0",
