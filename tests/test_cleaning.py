@@ -201,3 +201,11 @@ def test_warehouse_from_raw_sources(spark, sf_dir):
     star = build_warehouse(source_a(spark, sf_dir), source_b(spark, sf_dir))
     bad = [r for r in check_star(star).collect() if r.bad_keys and r.table_name != "fact_listings"]
     assert bad == []
+
+
+@pytest.mark.parametrize("name, targets", [
+    ("impute_amenities", C.AMENITIES), ("impute_distances", C.DISTANCE_MEASURES), ("impute_rooms", C.ROOM_COUNTS)])
+def test_registered_passes_fill_their_gaps(spark, sf_dir, name, targets):
+    from rentalytics.plans.catalog import QUERIES
+    filled = QUERIES[name](spark, sf_dir)
+    assert filled.filter(~I.complete(targets)).count() == 0
