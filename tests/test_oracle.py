@@ -3,10 +3,10 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from oracles.catalog import SQL
+from rentalytics.plans.catalog import QUERIES
 from tests.compare import connect, differences
 
-SQL = oracle_sql()
-QUERIES = queries()
 # No SQL counterpart: trained models, tails of distributions, and the schema report.
 WITHOUT_SQL = {
     "schema_diff", "clean_listings", "anova_price_p", "tukey_hsd", "manova_wilks_p",
@@ -19,6 +19,11 @@ def duck(sf_dir):
     return connect(sf_dir)
 
 
+def test_entry_registers_every_query():
+    assert set(QUERIES) <= set(queries())
+    assert set(SQL) <= set(oracle_sql())
+
+
 def test_catalog_and_statements_match():
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == WITHOUT_SQL
