@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rentalytics.llm import mixing, quality_rules, secrets, sharding, urls
+from rentalytics.llm import classifier, mixing, quality_rules, secrets, sharding, urls
 
 QUERIES = {
     "op1_mix": mixing.query,
     "op2_shards": sharding.query,
     "op3_quality_rules": quality_rules.query,
+    "op4_classifier": classifier.query,
     "op5_secrets": secrets.query,
     "op10_url_rules": urls.query,
 }
