@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rentalytics.llm import classifier, mixing, quality_rules, secrets, sharding, urls
+from rentalytics.llm import classifier, mixing, packing, quality_rules, secrets, sharding, urls
 
 QUERIES = {
     "op1_mix": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality_rules.query,
     "op4_classifier": classifier.query,
     "op5_secrets": secrets.query,
+    "op6_pack": packing.query,
     "op10_url_rules": urls.query,
 }
 SQL = {"op10_url_rules": urls.SQL}
