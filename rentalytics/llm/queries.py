@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from rentalytics.llm import classifier, mixing, packing, quality_rules, secrets, sharding, urls
+from rentalytics.llm import (
+    classifier, fingerprints, mixing, packing, quality_rules, secrets, sharding, training_order, urls,
+)
 
 QUERIES = {
     "op1_mix": mixing.query,
@@ -11,6 +13,8 @@ QUERIES = {
     "op4_classifier": classifier.query,
     "op5_secrets": secrets.query,
     "op6_pack": packing.query,
+    "op7_fingerprints": fingerprints.query,
+    "op9_training_order": training_order.query,
     "op10_url_rules": urls.query,
 }
 SQL = {"op10_url_rules": urls.SQL}
