@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from rentalytics.llm import (
-    classifier, fingerprints, mixing, packing, quality_rules, secrets, sharding, training_order, urls,
+    classifier, fingerprints, jaccard_join, mixing, packing, quality_rules, secrets, sharding, training_order,
+    urls,
 )
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_secrets": secrets.query,
     "op6_pack": packing.query,
     "op7_fingerprints": fingerprints.query,
+    "op8_jaccard_join": jaccard_join.query,
     "op9_training_order": training_order.query,
     "op10_url_rules": urls.query,
 }
