@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from rentalytics.llm import (
     classifier, fingerprints, jaccard_join, mixing, packing, quality_rules, secrets, sharding, training_order,
     urls,
@@ -18,5 +19,6 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.query,
     "op9_training_order": training_order.query,
     "op10_url_rules": urls.query,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {"op10_url_rules": urls.SQL}
