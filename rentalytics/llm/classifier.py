@@ -47,7 +47,7 @@ def statistics(texts: list[str], hashes: np.ndarray, begins: np.ndarray, declare
     n = np.diff(begins)
     words = np.maximum(n, 1)
     same = np.concatenate([hashes[1:] == hashes[:-1], [False]]) if hashes.size else np.zeros(0, bool)
-    same[begins[1:-1] - 1] &= begins[1:-1] == 0  # a text's last word has no next one
+    same[begins[1:][n > 0] - 1] = False  # a text's last word has no next one
     _, _, starts = counted((hashes >> np.uint64(44)).astype(np.int64), begins, 20)
     blank = (points == 32) | ((points >= 9) & (points <= 13))
     inside = segment_sums(~blank, bounds)
