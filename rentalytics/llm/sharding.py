@@ -85,12 +85,12 @@ def shard_rows(
                    "shards")
     ranges = max(1, -(-placed.count() // (shards * range_rows)))
     # The key's unsigned upper 31 bits, cut into equal ranges.
-    part = F.floor(F.shiftrightunsigned("key", 33) * F.lit(ranges) / F.lit(float(1 << 31))).cast("long")
-    placed = placed.withColumn("part", part)
+    high = F.shiftrightunsigned("key", 33)
+    placed = placed.withColumn("part", F.floor(high * F.lit(ranges) / F.lit(float(1 << 31))).cast("long"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.groupBy("shard", "part").count().select(
         "shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("shard", "part").orderBy("key", *[at[k] for k in keys], *[at[c] for c in tie])
+    inside = Window.partitionBy("shard", "part").orderBy(high, "key", *[at[k] for k in keys], *[at[c] for c in tie])
     numbered = placed.withColumn("n", F.row_number().over(inside)).join(sizes, ["shard", "part"])
     grown = F.when(F.col("ahead") == shards, F.lit(shards)).otherwise(F.col("shard")).cast("int")
     return numbered.select(
