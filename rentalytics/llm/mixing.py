@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from rentalytics.llm.common import mix64, n_words, numbered, read
 from rentalytics.runtime import join_lookup, stage
 
-LEAF_ROWS = 20_000
+LEAF_ROWS = 2_000
 FAN_IN = 64
 STEPS = 4
 _EPS = 1e-12
