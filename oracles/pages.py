@@ -65,7 +65,7 @@ COUNTS = (f"{whole(found('text', C.GUESTS_PATTERN))} as person_capacity,"
           f" {whole(found('text', BEDS))} as beds,"
           f" {whole(found('text', C.BATHS_PATTERN))} as bathrooms")
 PRICE_TEXT = (f"coalesce({whole(found('text', C.NIGHT_PRICE_PATTERN))},"
-              f" {whole(found('substr(text, 1, 5000)', C.ANY_PRICE_PATTERN))})")
+              f" {whole(found('text', C.ANY_PRICE_PATTERN))})")
 REVIEWS = whole(found("text", C.REVIEWS_PATTERN))
 _LABEL = number(found(found("html", C.RATING_LABEL_PATTERN), r"([\d.]+)"))
 RATING = "coalesce(" + ", ".join(
@@ -73,17 +73,16 @@ RATING = "coalesce(" + ", ".join(
     for v in [_LABEL, *[number(found("text", p)) for p in C.RATING_PATTERNS]]) + ")"
 _CLEAN = number(found("text", C.CLEANLINESS_PATTERN))
 CLEAN = f"case when {_CLEAN} <= 5 then {_CLEAN} end"
-TOP = "substr(text, 1, 3000)"
 
 
 def flags(test) -> str:
     return (f"{test('text', ['superhost'])} as host_is_superhost,"
-            f" {test(TOP, C.MULTI_WORDS)} as multi, {test(TOP, C.BIZ_WORDS)} as biz, "
+            f" {test('text', C.MULTI_WORDS)} as multi, {test('text', C.BIZ_WORDS)} as biz, "
             + ", ".join(f"{test('text', w)} as {a}" for a, w in C.AMENITY_WORDS.items()))
 
 
 ROOM_TEXT = "case " + " ".join(
-    f"when contains(lower(h1), '{p}') or contains(substr(text, 1, 2000), '{p}') then '{p.title()}'"
+    f"when contains(lower(h1), '{p}') or contains(text, '{p}') then '{p.title()}'"
     for p in C.ROOM_PHRASES) + " end"
 CITY_URL = found("url", "/s/([^/]+)/homes")
 # Title words: last usable part first.
@@ -144,14 +143,14 @@ def phrased(t: str, entire, private=("private room",), shared="shared room") ->
 _CATEGORY = found("html", r'"room_type_category": "([^"]+)"')
 _NAME = f"lower({found('html', chr(34) + 'name' + chr(34) + ': ' + chr(34) + '([^' + chr(34) + ']+)' + chr(34))})"
 _NAMED = f"case when {_CATEGORY} = 'Entire home' then 'Entire home/apt' else {_CATEGORY} end"
-_HTML_TOP = "lower(substr(html, 1, 1000))"
+_HTML_TOP = "lower(html)"
 ROOM_FULL = ("coalesce(" + ", ".join([
     _NAMED, phrased(_NAME, ("entire place", "entire home", "entire apartment")),
     "case when contains(lower(h2[1]), 'room in') then 'Private room' end",
     f"case when contains({_HTML_TOP}, 'room in') then 'Private room' else "
     + phrased(_HTML_TOP, ("entire home", "entire apartment", "entire place"),
               ("private room in",), "shared room in") + " end",
-    phrased("substr(text, 1, 2000)", ("entire home", "entire apartment"))]) + ")")
+    phrased("text", ("entire home", "entire apartment"))]) + ")")
 LISTING_KEY = f"coalesce({found('url', '/rooms/([0-9]+)')}, 'scraped_' || cast({hash_id('url')} as varchar))"
 
 
@@ -199,8 +198,6 @@ where beds is not null or room_type is not null""")
 SQL = {
     "listing_urls": with_(LP, _SRC_LP, links("/rooms/"), body=_FIRST),
     "listing_urls_pages": with_(_SRC_PAGES, links("/"), body=_FIRST),
-    "listing_urls_capped": with_(_SRC_PAGES, links("/"), body=_FIRST.replace(
-        "from placed", "from placed where position < 3")),
     "with_currency": """select url, case when contains(url, 'currency=') then url
  when contains(url, '?') then url || '&currency=USD' else url || '?currency=USD' end as priced_url from pages""",
     "page_listing_id": with_(LP, body=f"""
@@ -213,13 +210,17 @@ union all select url, {LISTING_KEY} from pages"""),
         f"select page_id, {city_title('stays')} as city from parsed"),
     "room_type_text": lp(f"select page_id, {ROOM_TEXT} as room_type from good"),
     "room_type_full": lp(f"select page_id, {ROOM_FULL} as room_type from good"),
-    "page_json": with_(LP, body="""
-select page_id, cast(case page_id % 9 when 0 then 2 when 1 then 1 when 5 then 1 else 0 end as int)
- as n_json from listing_pages"""),
+    "page_json": with_(LP, body=f"""
+select page_id, cast(len(list_filter(list_concat(
+  regexp_extract_all(html, {quote(r'(?s)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>')}, 1),
+  regexp_extract_all(html, {quote(r'(?s)<script[^>]*type="application/ld[+]json"[^>]*>(.*?)</script>')}, 1),
+  list_filter(regexp_extract_all(html, {quote(r'(?s)<script[^>]*type="application/json"[^>]*>(.*?)</script>')}, 1),
+   lambda x: starts_with(trim(x), '{{') and ends_with(trim(x), '}}'))), lambda x: json_valid(x))) as int) as n_json
+from listing_pages"""),
     "deep_find": lp(f"""
 select page_id, {_JSON_BEDS} as beds, {_JSON_BEDROOMS} as bedrooms, {_CATEGORY} as room_type,
  {found('html', chr(34) + 'name' + chr(34) + ': ' + chr(34) + '([^' + chr(34) + ']+)' + chr(34))} as name
-from parsed where page_id % 9 in (0, 1, 5)"""),
+from parsed where regexp_matches(html, {quote('(?s)<script[^>]*(id="__NEXT_DATA__"|type="application/(ld[+])?json")')})"""),
     "room_counts": lp(f"select page_id, {COUNTS} from good"),
     "beds_bedrooms": lp(f"select page_id, {BEDS_FULL} as beds, {BEDROOMS_FULL} as bedrooms from good"),
     "page_coordinates": lp(f"select page_id, {coordinate(0)} as lat, {coordinate(1)} as lng from good"),
@@ -244,6 +245,17 @@ select page_id, placed.url,
  case when position = 0 and {whole(_PRICED)} > 5 and {whole(_PRICED)} < 50000 then {whole(_PRICED)} end as search_price
 from placed join listing_pages using (page_id)""")
 
+_SHOWN_PRICE = (f"case when position = 0 and {whole(_PRICED)} > 5 and {whole(_PRICED)} < 50000"
+                f" then {whole(_PRICED)} end")
+SQL["extract_listings_search"] = with_(
+    LP, _SRC_LP, links("/rooms/"), parsed("listing_pages"), _RECORDS, f"""first_price as (
+ select url as address, arg_min(price, (page_id, position)) as shown from (
+  select page_id, position, placed.url, {_SHOWN_PRICE} as price
+  from placed join listing_pages using (page_id)) where price is not null group by 1)""", body=f"""
+select page_id, listing_key, review_count, bathrooms,
+ {_SELECT.replace("realSum", "coalesce(realSum, shown) as realSum", 1)}
+from records left join first_price on split_part(url, '?', 1) = address
+where beds is not null or room_type is not null""")
 SQL["ingest_city_files"] = with_(LP, parsed("listing_pages"), _RECORDS, f"""kept as (
  select {_SELECT} from records where beds is not null or room_type is not null)""", body=f"""
 select * from kept qualify row_number() over (partition by url order by

@@ -40,7 +40,11 @@ TRUE_TEXTS = ("t", "True", "true")
 FALSE_TEXTS = ("f", "False", "false")
 # Texts a CSV reader of the original data takes for "missing".
 MISSING_TEXTS = ("", "#N/A", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
-DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "yyyy/MM/dd", "d MMM yyyy", "MMM d, yyyy")
+DATE_FORMATS = (
+    "yyyy-MM-dd", "M/d/yyyy", "yyyy/MM/dd", "d MMM yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy", "yyyyMMdd",
+    "yyyy-MM-dd H:mm[:ss][.SSS]", "M/d/yyyy H:mm[:ss]", "yyyy/MM/dd H:mm[:ss]", "d MMM yyyy H:mm[:ss]",
+    "d MMMM yyyy H:mm[:ss]",
+)
 
 # --- fixed values: bands and segments (labels use an en dash) -----------------
 DIST_CUTS = (1.0, 3.0, 6.0)
@@ -139,11 +143,11 @@ PRICE_ELEMENTS = {
 }
 SEARCH_PRICE_ELEMENT = (
     r'(?is)<span[^>]*class="[^"]*(?:\b_tyxjp1\b|price)[^"]*"[^>]*>(.*?)</span>'
+    r'|data-testid="price-availability-row"[^>]*>\s*(?:<(?!/?span)[^>]*>\s*)*<span[^>]*>(.*?)</span>'
 )
-AMENITY_ELEMENTS = {
-    "listitem": r'(?is)<div[^>]*role="listitem"[^>]*>(.*?)</div>',
-    "amenity-row": r'(?is)<div[^>]*data-testid="amenity-row"[^>]*>(.*?)</div>',
-}
+# Amenity rows: list items of the amenity section, else elements marked as rows.
+AMENITY_SECTION = ("data-section-id", "AMENITIES_DEFAULT")
+AMENITY_ITEM = ("role", "listitem")
+AMENITY_ROW = ("data-testid", "amenity-row")
 RATING_LABEL_PATTERN = r'(?is)<span[^>]*aria-label="([^"]*rating[^"]*)"'
 COORDINATE_PREFIXES = ("", '"pdp_listing_detail".*?', "listing.*?", '"location".*?')
-ROOM_HEAD, PRICE_HEAD, FLAG_HEAD, HTML_HEAD = 2000, 5000, 3000, 1000

@@ -1,8 +1,4 @@
-"""Listing records from raw pages (page_id, url, html). Every step is narrow.
-
-Some rules look at the head of a page only (``ROOM_HEAD`` and so on): that is where
-listings state their kind, and it is part of the rule.
-"""
+"""Listing records from raw pages (page_id, url, html). Every step is narrow and reads whole pages."""
 
 from __future__ import annotations
 
@@ -24,45 +20,50 @@ LOOKUPS = {
 
 
 # --- links ----------------------------------------------------------------------
-def page_links(path: str = "/rooms/", n: int | None = None) -> Column:
-    """Canonical links of one page in order, each once: site added, query cut."""
-    links = H.all_found("html", r'(?i)<a\s[^>]*href="([^"]+)"')
+def page_links(path: str = "/rooms/") -> Column:
+    """Canonical links of one page in order, each once: site added, query cut. Any style of quotes."""
+    raw = H.all_found("html", r"""(?i)<a\s(?:[^>]*\s)?href\s*=\s*("[^"]+"|'[^']+'|[^\s"'>]+)""")
+    links = F.transform(raw, lambda x: F.regexp_replace(x, r"""^["']|["']$""", ""))
     site = H.site_of("url")
     full = F.transform(
         F.filter(links, lambda x: x.contains(path)),
         lambda x: F.substring_index(
             F.when(x.startswith("/"), F.concat(site, x)).otherwise(x), "?", 1),
     )
-    urls = F.array_distinct(full)
-    return urls if n is None else F.slice(urls, 1, n)
-
+    return F.array_distinct(full)
 
-def listing_urls(pages: DataFrame, path: str = "/rooms/", n: int | None = None) -> DataFrame:
-    """(url, page_id, position): every link once, where it was seen first.
 
-    ``n`` is the number of listings asked for per search page.
-    """
-    links = pages.select("page_id", F.posexplode(page_links(path, n)).alias("position", "url"))
+def listing_urls(pages: DataFrame, path: str = "/rooms/") -> DataFrame:
+    """(url, page_id, position): every link once, where it was seen first."""
+    links = pages.select("page_id", F.posexplode(page_links(path)).alias("position", "url"))
     first = links.groupBy("url").agg(F.min(F.struct("page_id", "position")).alias("first"))
     return first.select("url", "first.page_id", "first.position")
 
 
-def search_prices(pages: DataFrame, path: str = "/rooms/", n: int | None = None) -> DataFrame:
-    """(page_id, url, search_price): the i-th link of a search page takes its i-th price.
-
-    At most two price texts per link are looked at, as each link may repeat its price.
-    """
-    links = page_links(path, n)
-    texts = F.slice(
-        F.transform(H.all_found("html", C.SEARCH_PRICE_ELEMENT), lambda x: H.plain(x)), 1, F.size(links) * 2)
+def search_prices(pages: DataFrame, path: str = "/rooms/") -> DataFrame:
+    """(page_id, position, url, search_price): the i-th link of a search page takes its i-th price."""
+    links = page_links(path)
+    texts = F.zip_with(
+        H.all_found("html", C.SEARCH_PRICE_ELEMENT, 1), H.all_found("html", C.SEARCH_PRICE_ELEMENT, 2),
+        lambda a, b: H.plain(F.concat(a, b)))
     low, high = C.PRICE_RANGE
     values = F.transform(texts, lambda x: H.whole(H.capture(x, r"\$(\d+)")))
     prices = F.filter(values, lambda x: (x > low) & (x < high))
     pairs = F.transform(links, lambda x, i: F.struct(
-        x.alias("url"), F.get(prices, i).alias("search_price")))
+        i.alias("position"), x.alias("url"), F.get(prices, i).alias("search_price")))
     return pages.select("page_id", F.explode(pairs).alias("p")).select("page_id", "p.*")
 
 
+def price_per_url(prices: DataFrame) -> DataFrame:
+    """(url, search_price), one row per address: the first price shown for it, by page and place on it.
+
+    Prices from elsewhere, without page and place, give the lowest.
+    """
+    shown = prices.filter(F.col("search_price").isNotNull())
+    order = [c for c in ("page_id", "position", "search_price") if c in prices.columns]
+    return shown.groupBy("url").agg(F.min_by("search_price", F.struct(*order)).alias("search_price"))
+
+
 def page_listing_id(url: str | Column = "url") -> Column:
     """Number in the address; other addresses get a hash."""
     return F.coalesce(
@@ -125,10 +126,9 @@ def page_city(site_name: str, search_city: Column | None = None) -> Column:
     return F.coalesce(*([search_city] if search_city is not None else []), *options)
 
 
-def room_type_text(text: Column, h1: Column, chars: int | None = C.ROOM_HEAD) -> Column:
-    """First of the room phrases in the heading or the head of the page."""
-    top = H.head(text, chars)
-    first, *rest = [(h1.contains(p) | top.contains(p), p.title()) for p in C.ROOM_PHRASES]
+def room_type_text(text: Column, h1: Column) -> Column:
+    """First of the room phrases in the heading or the page."""
+    first, *rest = [(h1.contains(p) | text.contains(p), p.title()) for p in C.ROOM_PHRASES]
     chain = F.when(first[0], F.lit(first[1]))
     for test, label in rest:
         chain = chain.when(test, F.lit(label))
@@ -183,22 +183,20 @@ def _heading_room(h2: Column) -> Column:
     return _first(F.transform(h2, label))
 
 
-def _source_room(html: Column, chars: int | None = C.HTML_HEAD) -> Column:
-    def label(top: Column) -> Column:
-        return F.when(top.contains("room in"), F.lit("Private room")).otherwise(
-            _phrased_room(top, ("entire home", "entire apartment", "entire place"),
+def _source_room(html: Column) -> Column:
+    def label(page: Column) -> Column:
+        return F.when(page.contains("room in"), F.lit("Private room")).otherwise(
+            _phrased_room(page, ("entire home", "entire apartment", "entire place"),
                           private=("private room in",), shared="shared room in"))
 
-    return H.once(F.lower(H.head(html, chars)), label)
+    return H.once(F.lower(html), label)
 
 
-def room_type_full(
-    found: Column, text: Column, html: Column, h2: Column, chars: int | None = C.ROOM_HEAD
-) -> Column:
+def room_type_full(found: Column, text: Column, html: Column, h2: Column) -> Column:
     """Embedded JSON, then second headings, then page source, then (lower-case) page text."""
     return F.coalesce(
         _json_room(found), _heading_room(h2), _source_room(html),
-        H.once(H.head(text, chars), lambda t: _phrased_room(t, ("entire home", "entire apartment"))),
+        _phrased_room(text, ("entire home", "entire apartment")),
     )
 
 
@@ -242,11 +240,11 @@ def page_coordinates(scripts: Column, html: Column) -> Column:
     )
 
 
-def price_text(text: Column, chars: int | None = C.PRICE_HEAD) -> Column:
-    """Price per night, else the first amount in the head of the page."""
+def price_text(text: Column) -> Column:
+    """Price per night, else the first amount on the page."""
     return F.coalesce(
         H.whole(H.capture(text, C.NIGHT_PRICE_PATTERN)),
-        H.whole(H.capture(H.head(text, chars), C.ANY_PRICE_PATTERN)),
+        H.whole(H.capture(text, C.ANY_PRICE_PATTERN)),
     )
 
 
@@ -283,25 +281,18 @@ def page_ratings(html: Column, text: Column) -> dict[str, Column]:
 
 def amenity_text(html: Column, text: Column) -> Column:
     """Lower-case text of the amenity rows if the page has any, else the whole text."""
-    def rows(pattern: str) -> Column:
-        texts = F.transform(H.all_found(html, pattern), lambda x: H.plain(x))
-        return H.keep_if(F.lower(F.concat_ws(" ", texts)), lambda x: x != "")
-
-    found = [F.when(html.contains(token), rows(p)) for token, p in C.AMENITY_ELEMENTS.items()]
-    return F.coalesce(*found, text)
+    return F.coalesce(H.amenity_rows(html), text)
 
 
 def page_flags(
     text: Column, amenities: Column | None = None, strict_words: bool = False,
-    chars: int | None = C.FLAG_HEAD,
 ) -> dict[str, Column]:
     """Host, multi and business flags, and the six amenities (see ``amenity_text``)."""
-    top = H.head(text, chars)
     where = text if amenities is None else amenities
     return {
         "host_is_superhost": H.has_any(text, ("superhost",), strict_words),
-        "multi": H.has_any(top, C.MULTI_WORDS, strict_words),
-        "biz": H.has_any(top, C.BIZ_WORDS, strict_words),
+        "multi": H.has_any(text, C.MULTI_WORDS, strict_words),
+        "biz": H.has_any(text, C.BIZ_WORDS, strict_words),
         **{a: H.has_any(where, w, strict_words) for a, w in C.AMENITY_WORDS.items()},
     }
 
@@ -332,8 +323,8 @@ def extract_listings(
 ) -> DataFrame:
     """One listing record per usable page.
 
-    A page without beds and room type is dropped, as are error pages. ``search`` holds
-    (url, search_price) with one row per url and fills prices the page does not state.
+    A page without beds and room type is dropped, as are error pages. ``search`` is the
+    result of ``search_prices``; it fills prices the page does not state, one per address.
     """
     parsed = found_json(page_text(drop_error_pages(pages))).withColumn(
         "amenities", amenity_text(F.col("html"), F.col("text")))
@@ -363,7 +354,7 @@ def extract_listings(
         "lat": F.col("position.lat"), "lng": F.col("position.lng"),
     })
     if search is not None:
-        prices = search.select(F.col("url").alias("_url"), "search_price")
+        prices = price_per_url(search).withColumnRenamed("url", "_url")
         out = out.join(prices, F.substring_index("url", "?", 1) == F.col("_url"), "left").withColumn(
             "realSum", F.coalesce("realSum", "search_price"))
     return out.select("page_id", "listing_key", "review_count", "bathrooms", *C.CITY_FILE_COLUMNS)

@@ -333,8 +333,7 @@ def _deep_find(df: DataFrame) -> DataFrame:
 PAGES: dict[str, Query] = {
     "listing_urls": _listing_pages(P.listing_urls),
     "listing_urls_pages": _raw_pages(lambda df: P.listing_urls(df, "/")),
-    "listing_urls_capped": _raw_pages(lambda df: P.listing_urls(df, "/", n=3)),
-    "search_prices": _listing_pages(P.search_prices),
+    "search_prices": _listing_pages(lambda df: P.search_prices(df).drop("position")),
     "with_currency": _raw_pages(lambda df: df.select("url", H.with_currency("url").alias("priced_url"))),
     "page_listing_id": lambda spark, sf: listing_pages(spark, sf).select("url").unionAll(
         table(spark, sf, "pages").select("url")).withColumn("listing_key", P.page_listing_id()),
@@ -349,7 +348,7 @@ PAGES: dict[str, Query] = {
     "room_type_full": _good(lambda df: P.found_json(df).select(
         "page_id", P.room_type_full(*map(F.col, ("found", "text", "html", "h2"))).alias("room_type"))),
     "page_json": _listing_pages(lambda df: df.select(
-        "page_id", F.size(H.page_json("html")).alias("n_json"))),
+        "page_id", H.json_count(H.page_json("html")).alias("n_json"))),
     "deep_find": _listing_pages(_deep_find),
     "room_counts": _good(lambda df: _fields(**P.room_counts(F.col("text")))(df)),
     "beds_bedrooms": _good(lambda df: _fields(
@@ -374,6 +373,8 @@ PAGES: dict[str, Query] = {
         "o_orderkey", *[c.alias(n) for n, c in P.weekend_stay(F.to_date("o_orderdate")).items()],
         P.per_night("o_totalprice").alias("price_per_night")),
     "extract_listings": _listing_pages(P.extract_listings),
+    "extract_listings_search": _listing_pages(
+        lambda df: P.extract_listings(df, search=P.search_prices(df))),
 }
 
 

@@ -49,7 +49,6 @@ def test_links_are_canonical_and_kept_once(make):
     got = {(r.url, r.page_id, r.position) for r in P.listing_urls(df).collect()}
     assert got == {("https://stay.example.com/rooms/1", 0, 0), ("https://o.example.com/rooms/2#s", 0, 1),
                    ("https://stay.example.com/rooms/3", 1, 1)}
-    assert {r.url for r in P.listing_urls(df, n=1).collect()} == {"https://stay.example.com/rooms/1"}
 
 
 def test_search_prices_follow_link_order(make):
@@ -117,9 +116,58 @@ def test_room_type_fallbacks(make):
         page("<h2>About</h2><h2>Room in a villa</h2>"), page("<h2>Shared room near park</h2>"),
         page("<p>Entire home to rent</p>"), page("x" * 3000 + " private room"), page("nothing")))
     rooms = one(df, P.room_type_full(FOUND, TEXT, HTML, F.col("h2")))
-    assert rooms == ["Private room", "Shared room", "Entire home/apt", None, None]
-    assert one(df, P.room_type_text(TEXT, F.lower("h1"))) == [None, "Shared Room", "Entire Home", None, None]
-    assert one(df, P.room_type_text(TEXT, F.lower("h1"), chars=None))[3] == "Private Room"
+    assert rooms == ["Private room", "Shared room", "Entire home/apt", "Private room", None]
+    assert one(df, P.room_type_text(TEXT, F.lower("h1"))) == [
+        None, "Shared Room", "Entire Home", "Private Room", None]
+
+
+def test_whole_pages_are_read(make):
+    """A phrase behind any number of characters counts."""
+    far = "x " * 6000
+    df = parsed(make(page(far + "several rooms and a desk for $77 in a hotel room, kitchen")))
+    flags = P.page_flags(TEXT, P.amenity_text(HTML, TEXT))
+    assert one(df, flags["multi"]) == one(df, flags["biz"]) == one(df, flags["kitchen"]) == [True]
+    assert one(df, P.price_text(TEXT)) == [77]
+    assert one(df, P.room_type_full(FOUND, TEXT, HTML, F.col("h2"))) == ["Hotel room"]
+
+
+def test_amenity_rows_of_the_section_only(make):
+    section = '<section data-section-id="AMENITIES_DEFAULT"><div role="listitem"><div>Wi-Fi<br>fast</div> here</div></section>'
+    df = parsed(make(page('<div role="listitem">Help</div><p>wifi kitchen</p>'), page(section + "<p>kitchen</p>"),
+                     page('<div data-testid="amenity-row">Garage<div>inner</div>tv</div><p>kitchen</p>'),
+                     page(section.replace("Wi-Fi<br>fast", "").replace(" here", "") + "kitchen"), page("AMENITIES_DEFAULT kitchen")))
+    assert one(df, H.amenity_rows("html")) == [None, "wi-fi fast here", "garage inner tv", None, None]
+    flags = P.page_flags(TEXT, P.amenity_text(HTML, TEXT))
+    assert one(df, flags["wifi"]) == [True, True, False, False, False]
+    assert one(df, flags["kitchen"]) == [True, False, False, True, True]
+
+
+def test_unreadable_json_costs_its_page_nothing_else(make):
+    deep = '{"a":' * 5000 + "1" + "}" * 5000
+    shallow = '{"a":[' * 600 + '{"beds": 2}' + "]}" * 600
+    script = '<script type="application/json">{}</script>'
+    df = P.found_json(make(page(head=script.replace("{}", deep)), page(head=script.replace("{}", '{"beds": 3, "beds": 4}')),
+                           page(head=script.replace("{}", shallow)), page(head=script.replace("{}", '{"beds": '))))
+    assert [[f.beds for f in r.found] for r in df.orderBy("page_id").collect()] in ([[], [4], [2], []], [[None], [4], [2], []])
+    assert one(df, H.json_count(H.page_json("html")))[1:] == [1, 1, 0]
+    twice = make(page(head='<script id="__NEXT_DATA__">{"a": 1}</script><script id="__NEXT_DATA__">{"beds": 5}</script>'))
+    assert [f.beds for f in P.found_json(twice).first().found] == [None, 5]
+
+
+def test_entities_and_quotes(make):
+    df = P.page_text(make(page("caf&eacute; &#8364;99 night &#x1F600; &amp;lt; &amp;#65; &lt;b&gt; &unknown; &#0; a&nbsp;b &apos;&quot;")))
+    assert one(df, "page_text") == ["café €99 night \U0001f600 &lt; &#65; <b> &unknown; &#0; a b '\""]
+    links = make(page("<a href='/rooms/1'>a</a><a class=x href=/rooms/2>b</a><a data-href='/rooms/9' href = \"/rooms/3?x\">c</a>"))
+    assert {r.url[-1] for r in P.listing_urls(links).collect()} == {"1", "2", "3"}
+
+
+def test_one_price_per_address(make):
+    body = page('<h1>Loft</h1><p>entire home, 2 beds ·</p>')
+    search = make(*[page(f'<a href="/rooms/7">a</a><span class="price">${p}</span>') for p in (90, 80)],
+                  page('<a href="/rooms/7">a</a><div data-testid="price-availability-row"><div><span>$70 now</span></div></div>'))
+    assert sorted(r.search_price for r in P.search_prices(search).collect()) == [70, 80, 90]
+    rows = P.extract_listings(make(body), search=P.search_prices(search)).collect()
+    assert [r.realSum for r in rows] == [90]
 
 
 def test_coordinates(make):
@@ -153,7 +201,8 @@ def test_reviews_and_ratings(make):
 
 def test_flags_and_strict_words(make):
     df = parsed(make(page("a nice place"), page("Superhost, several rooms, workspace, A/C, hdtv, wi-fi"),
-                     page('<div role="listitem">Kitchen</div><p>wifi</p>')))
+                     page(
+                         '<div data-section-id="AMENITIES_DEFAULT"><div role="listitem"><div>Kitchen</div> big</div></div><p>wifi</p>')))
     loose, strict = P.page_flags(TEXT), P.page_flags(TEXT, strict_words=True)
     assert one(df, loose["air_conditioning"]) == [True, True, False]
     assert one(df, strict["air_conditioning"]) == [False, True, False]
