@@ -178,6 +178,9 @@ def dim(key: str) -> str:
 
 
 _FKS = ", ".join(f"{hash_id(*c)} as {k}" for k, c in _KEYS.items())
+_FKS_10 = ", ".join(f"{hash_id(*c, hex_digits=10)} as {k}" for k, c in _KEYS.items())
+FACT_10 = with_(LISTINGS, body=f"select listing_id, {_FKS_10}, {_MEASURES} from listings")
+WIDE_10 = with_(LISTINGS, body=f"select *, {_FKS_10} from listings")
 FACT = with_(LISTINGS, body=f"select listing_id, {_FKS}, {_MEASURES} from listings")
 WIDE = with_(LISTINGS, body=f"select *, {_FKS} from listings")
 _CHECKS = " union all ".join(
@@ -190,6 +193,9 @@ _CHECKS = " union all ".join(
     + ["""select 'primary_key', 'fact_listings', count(*), cast(coalesce(sum(n), 0) as bigint)
  from (select listing_id, count(*) as n from listings group by 1 having count(*) > 1)"""])
 CHECK_STAR = with_(LISTINGS, body=_CHECKS)
+DIM_LOCATION_10 = with_(LISTINGS, body=(
+    f"select distinct {hash_id(*_KEYS['location_id'], hex_digits=10)} as location_id,"
+    f" {', '.join(_KEYS['location_id'])} from listings"))
 STAR_JOIN = with_(LISTINGS, body="""
 select listing_id, city, country, room_type, room_shared, room_private, host_is_superhost,
  day_type, is_weekend, biz, multi, wifi, kitchen, air_conditioning, parking, tv, heating, realSum,
@@ -227,5 +233,8 @@ SQL = {
     "fact_listings": FACT,
     "fact_listings_joined": FACT,
     "keyed_listings": WIDE,
+    "dim_location_10": DIM_LOCATION_10,
+    "fact_listings_10": FACT_10,
+    "keyed_listings_10": WIDE_10,
     "check_star": CHECK_STAR,
 }

@@ -13,13 +13,14 @@ CITY = "nullif(lower(trim(split_part(host_location, ',', 1))), '~')"
 # Text behind the first comma; null without a comma.
 LAND = ("case when strpos(host_location, ',') > 0 then"
         " trim(substr(host_location, strpos(host_location, ',') + 1)) end")
-DAY = "try_strptime(calendar_last_scraped, ['%Y-%m-%d', '%m/%d/%Y'])"
+DAY = ("try_strptime(calendar_last_scraped, ['%Y-%m-%d', '%m/%d/%Y', '%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S',"
+       " '%B %d, %Y', '%Y%m%d'])")
 MAP_BOOL = ("case when host_is_superhost in ('t', 'True') then 1"
             " when host_is_superhost in ('f', 'False') then 0 end")
 PCT = "try_cast(replace(host_acceptance_rate, '%', '') as double)"
 CLEAN = "coalesce(round_even(review_scores_cleanliness * 10, 0) / 10, 0)"
-ROOM = """coalesce(room_type = 'Shared room', false) as room_shared,
- coalesce(room_type = 'Private room', false) as room_private"""
+ROOM = """cast(coalesce(room_type = 'Shared room', false) as int) as room_shared,
+ cast(coalesce(room_type = 'Private room', false) as int) as room_private"""
 MULTI = "coalesce(cast(host_listings_count > 1 as int), 0)"
 AMEN = ", ".join(
     f"cast(coalesce(contains(lower(amenities), '{a.replace('_', ' ')}'), false) as int) as {a}"
@@ -42,19 +43,21 @@ clean_b as (
   {MAP_BOOL} as host_is_superhost, {CLEAN} as cleanliness_rating,
   {PCT} as guest_satisfaction_overall, bedrooms, beds, latitude, longitude, {ROOM},
   {MULTI} as multi, {MULTI} as biz, {NULLS}, final_city as city, lower(country) as country,
-  case when isodow({DAY}) >= 6 then 'weekend' else 'weekday' end as day_type,
-  case when isodow({DAY}) >= 6 then 1 else 0 end as is_weekend, {AMEN}
+  case when isodow({DAY}) >= 6 then 'weekend' when isodow({DAY}) < 6 then 'weekday' end as day_type,
+  cast(isodow({DAY}) >= 6 as int) as is_weekend, {AMEN}
  from kept
  where final_city is not null and lower(final_city) not in {UNWANTED}
   and lower(coalesce(country, '')) not in {UNWANTED})"""
 
 
-_A_COLUMNS = [n for n in SOURCE_A_RULES if n not in ("cleanliness_rating", "lng", "lat")]
+_A_COLUMNS = [n for n in SOURCE_A_RULES if n not in (
+    "cleanliness_rating", "lng", "lat", "room_shared", "room_private")]
+_A_FLAGS = "cast(room_shared as int) as room_shared, cast(room_private as int) as room_private"
 CLEAN_A = f"""clean_a as (
- select {', '.join(_A_COLUMNS)}, cleanliness_rating * 0.5 as cleanliness_rating,
+ select {', '.join(_A_COLUMNS)}, {_A_FLAGS}, cleanliness_rating * 0.5 as cleanliness_rating,
   lng as longitude, lat as latitude from source_a)"""
 _B_ONLY = ["beds", *C.AMENITIES]
-_ALL = [*_A_COLUMNS, "cleanliness_rating", "longitude", "latitude", *_B_ONLY]
+_ALL = [*_A_COLUMNS, "room_shared", "room_private", "cleanliness_rating", "longitude", "latitude", *_B_ONLY]
 MERGED = f"""merged as (
  select {', '.join(c if c not in _B_ONLY else f'null as {c}' for c in _ALL)} from clean_a
  union all select {', '.join(_ALL)} from clean_b)"""
@@ -158,8 +161,7 @@ select listing_id, realSum from gaps where bedrooms is not null and beds is not
 order by md5(listing_id || '_42'), listing_id limit 2000""")
 
 
-_STAGING = """listing_id, realSum, room_type, cast(room_shared as varchar) as room_shared,
- cast(room_private as varchar) as room_private, person_capacity, host_is_superhost, multi, biz,
+_STAGING = """cast(listing_id as varchar) as listing_id, realSum, room_type, room_shared, room_private, person_capacity, host_is_superhost, multi, biz,
  cleanliness_rating, guest_satisfaction_overall, bedrooms, dist, metro_dist, attr_index,
  attr_index_norm, rest_index, rest_index_norm, longitude, latitude, city, country, day_type,
  is_weekend, beds, wifi, kitchen, air_conditioning, parking, tv, heating"""
@@ -171,6 +173,7 @@ _KEY_COLUMNS = ", ".join((
     hash_id("day_type", "is_weekend", "biz", "multi") + " as day_id"))
 _A_READ = ", ".join(
     f"cast({n} as varchar) as {n}" if n == "host_is_superhost" else
+    f"cast({n} as int) as {n}" if n in ("room_shared", "room_private") else
     f"cast({n} as double) as {n}" if n in ("person_capacity", "bedrooms") else n
     for n in SOURCE_A_RULES)
 _MISSING = texts(v for v in C.MISSING_TEXTS)
@@ -210,8 +213,8 @@ SQL = {
         "city, country", f"where lower(coalesce(city, '')) not in {UNWANTED}"
         f" and lower(coalesce(country, '')) not in {UNWANTED}", "located"),
     "day_features": b_query(
-        f"calendar_last_scraped, case when isodow({DAY}) >= 6 then 'weekend' else 'weekday' end as"
-        f" day_type, case when isodow({DAY}) >= 6 then 1 else 0 end as is_weekend"),
+        f"calendar_last_scraped, case when isodow({DAY}) >= 6 then 'weekend' when isodow({DAY}) < 6 then"
+        f" 'weekday' end as day_type, cast(isodow({DAY}) >= 6 as int) as is_weekend"),
     "amenity_flags": b_query(f"amenities, {AMEN}"),
     "coerce_numeric": b_query("host_acceptance_rate as raw, try_cast(host_acceptance_rate as double)"
                               " as host_acceptance_rate"),

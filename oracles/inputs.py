@@ -16,8 +16,10 @@ JOINED = """lineitem
   join region on n_regionkey = r_regionkey"""
 
 
-def hash_id(*cols: str, hex_digits: int = 10) -> str:
+def hash_id(*cols: str, hex_digits: int | None = None) -> str:
     parts = " || '_' || ".join(f"coalesce(cast({c} as varchar), 'nan')" for c in cols)
+    if hex_digits is None:
+        return f"md5({parts})"
     return f"cast(concat('0x', substr(md5({parts}), 1, {hex_digits})) as bigint)"
 
 

@@ -29,6 +29,12 @@ def map_bool(c: str | Column) -> Column:
     )
 
 
+def to_flag(c: str | Column) -> Column:
+    """1/0 of a flag written as a number, a truth value or a text; anything else is null."""
+    text = F.trim(_col(c).cast("string"))
+    return F.coalesce(map_bool(text), F.lower(text).try_cast("boolean").cast("int"), to_number(text).cast("int"))
+
+
 def flag_gt(c: str | Column, threshold: float) -> Column:
     """1 where the value exceeds the threshold, else 0 (also for null)."""
     return F.coalesce((_col(c) > F.lit(threshold)).cast("int"), F.lit(0))
@@ -51,9 +57,15 @@ def parse_pct(c: str | Column) -> Column:
 
 
 def parse_date(c: str | Column, formats: Sequence[str] = C.DATE_FORMATS) -> Column:
-    """First of the formats that reads the text, month before day."""
+    """Date of the first format that reads the text, month before day; a time of day is cut off.
+
+    A text that no format reads gives null. ``T`` between date and time is a blank, and a
+    zone or offset behind the time is not looked at: the date is the one written.
+    """
     text = F.trim(_col(c).cast("string"))
-    return F.coalesce(*[F.try_to_date(text, f) for f in formats])
+    text = F.regexp_replace(text, r"(?<=\d)T(?=\d)", " ")
+    text = F.regexp_replace(text, r"(?<=\d:\d\d)(:\d\d)?(?:\.\d+)?\s*(?:Z|UTC|[+-]\d\d:?\d\d)?$", "$1")
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats])
 
 
 def contains_word(c: str | Column, word: str) -> Column:
@@ -67,15 +79,30 @@ def key_text(c: str | Column) -> Column:
     return F.coalesce(_col(c).cast("string"), F.lit("nan"))
 
 
-def hash_id(*cols: str | Column, hex_digits: int = 10) -> Column:
-    """Leading hex digits of the MD5 of the joined values, as a number.
+def key_number(c: str | Column) -> Column:
+    """The text of a number or flag, the same from every type that can hold it.
+
+    Whole numbers have no fraction, true and false (also as texts) are 1 and 0.
+    """
+    text = _col(c).cast("string")
+    flag = F.when(F.lower(text) == "true", F.lit("1")).when(F.lower(text) == "false", F.lit("0"))
+    value = text.try_cast("double")
+    whole = F.when(F.abs(value) < 1e15, F.when(value == F.floor(value), value.try_cast("long").cast("string")))
+    return F.coalesce(flag, whole, value.cast("string"), text, F.lit("nan"))
+
 
-    Ten digits are 40 bits: collisions are near certain at ten million distinct
-    tuples, so large tables should ask for 15.
+def hash_id(*cols: str | Column, hex_digits: int | None = None) -> Column:
+    """MD5 of the joined values: all of it as text, or its leading hex digits as a number.
+
+    Two different tuples share all 128 bits with a chance that no table size makes likely.
+    Short keys are for readers that need numbers: ten digits are 40 bits and collide near
+    certainly at ten million distinct tuples, fifteen at some hundred million.
     """
+    digest = F.md5(F.concat_ws("_", *[key_text(c) for c in cols]))
+    if hex_digits is None:
+        return digest
     if not 1 <= hex_digits <= 15:
         raise ValueError("hex_digits must be between 1 and 15")
-    digest = F.md5(F.concat_ws("_", *[key_text(c) for c in cols]))
     return F.conv(F.substring(digest, 1, hex_digits), 16, 10).cast("long")
 
 

@@ -18,10 +18,10 @@ def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 
 def room_flags(df: DataFrame, room: str = "room_type") -> DataFrame:
-    """Shared and private flags from the exact room type; a missing type gives false."""
+    """Shared and private flags (1/0) from the exact room type; a missing type gives 0."""
     return df.withColumns({
-        "room_shared": F.coalesce(F.col(room) == "Shared room", F.lit(False)),
-        "room_private": F.coalesce(F.col(room) == "Private room", F.lit(False)),
+        "room_shared": F.coalesce((F.col(room) == "Shared room").cast("int"), F.lit(0)),
+        "room_private": F.coalesce((F.col(room) == "Private room").cast("int"), F.lit(0)),
     })
 
 
@@ -66,10 +66,10 @@ def exclude_tokens(
 
 
 def day_features(df: DataFrame, c: str = "calendar_last_scraped") -> DataFrame:
-    """``day_type`` and ``is_weekend`` of a date text; an unreadable date is a weekday."""
-    weekend = F.coalesce(F.weekday(X.parse_date(c)) >= 5, F.lit(False))
+    """``day_type`` and ``is_weekend`` of a date text; both are null for a text that is no date."""
+    weekend = F.weekday(X.parse_date(c)) >= 5
     return df.withColumns({
-        "day_type": F.when(weekend, F.lit("weekend")).otherwise(F.lit("weekday")),
+        "day_type": F.when(weekend, F.lit("weekend")).when(~weekend, F.lit("weekday")),
         "is_weekend": weekend.cast("int"),
     })
 
@@ -140,8 +140,7 @@ def clean_source_a(df: DataFrame) -> DataFrame:
     df = rename(df, {"lat": "latitude", "lng": "longitude"})
     return df.withColumns({
         "cleanliness_rating": X.rescale("cleanliness_rating", 0.5),
-        "host_is_superhost": F.coalesce(
-            X.map_bool("host_is_superhost"), X.to_number("host_is_superhost").cast("int")),
+        **{c: X.to_flag(c) for c in ("host_is_superhost", "room_shared", "room_private")},
     })
 
 

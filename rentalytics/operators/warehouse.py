@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentalytics import constants as C
-from rentalytics.functions.scalars import hash_id
+from rentalytics.functions.scalars import hash_id, key_number, key_text
 
 # dimension -> (key, attributes)
 DIMENSIONS: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -20,6 +20,9 @@ DIMENSIONS: dict[str, tuple[str, tuple[str, ...]]] = {
     "dim_day": ("day_id", ("day_type", "is_weekend", "biz", "multi")),
 }
 FACT = "fact_listings"
+# Attributes that are texts; the others are numbers and flags.
+TEXTS = ("city", "country", "room_type", "day_type")
+COORDINATES = ("latitude", "longitude")
 MEASURES = (
     "realSum", "person_capacity", "bedrooms", "beds", "cleanliness_rating",
     "guest_satisfaction_overall", *C.DISTANCE_MEASURES,
@@ -30,42 +33,47 @@ NATURAL_KEY = (
 )
 
 
-def listing_id(df: DataFrame, cols: Sequence[str] = NATURAL_KEY, hex_digits: int = 15) -> DataFrame:
+def _key_part(name: str) -> Column:
+    """Text of an attribute in a key: the same for every type the column may have."""
+    if name in TEXTS:
+        return key_text(name)
+    if name in COORDINATES:
+        return key_text(F.col(name).cast("double"))
+    return key_number(name)
+
+
+def listing_id(df: DataFrame, cols: Sequence[str] = NATURAL_KEY, hex_digits: int | None = None) -> DataFrame:
     """Adds ``listing_id`` over the natural key. Equal rows get equal keys."""
-    return df.withColumn("listing_id", hash_id(*cols, hex_digits=hex_digits))
+    return df.withColumn("listing_id", hash_id(*map(_key_part, cols), hex_digits=hex_digits))
 
 
-def dim_key(df: DataFrame, name: str, hex_digits: int = 10) -> Column:
+def dim_key(name: str, hex_digits: int | None = None) -> Column:
     """Key of a dimension as an expression on the listing row.
 
-    True/false columns read ``True``/``False`` in the key text.
+    Flags read ``1``/``0``, whether stored as numbers, truth values or texts, so that keys
+    stay the same over a round trip through files.
     """
     _, attributes = DIMENSIONS[name]
-    types = dict(df.dtypes)
-    texts = [
-        F.initcap(F.col(a).cast("string")) if types[a] == "boolean" else F.col(a)
-        for a in attributes
-    ]
-    return hash_id(*texts, hex_digits=hex_digits)
+    return hash_id(*map(_key_part, attributes), hex_digits=hex_digits)
 
 
-def build_dim(df: DataFrame, name: str, hex_digits: int = 10) -> DataFrame:
+def build_dim(df: DataFrame, name: str, hex_digits: int | None = None) -> DataFrame:
     """Distinct attribute tuples with their key; duplicates collapse before the shuffle."""
     key, attributes = DIMENSIONS[name]
     distinct = df.select(*attributes).distinct()
-    return distinct.select(dim_key(df, name, hex_digits).alias(key), *attributes)
+    return distinct.select(dim_key(name, hex_digits).alias(key), *attributes)
 
 
-def with_keys(df: DataFrame, hex_digits: int = 10) -> DataFrame:
+def with_keys(df: DataFrame, hex_digits: int | None = None) -> DataFrame:
     """The wide listing table plus the five dimension keys: a narrow step, no join."""
     return df.withColumns(
-        {key: dim_key(df, name, hex_digits) for name, (key, _) in DIMENSIONS.items()}
+        {key: dim_key(name, hex_digits) for name, (key, _) in DIMENSIONS.items()}
     )
 
 
-def build_fact(df: DataFrame, hex_digits: int = 10) -> DataFrame:
+def build_fact(df: DataFrame, hex_digits: int | None = None) -> DataFrame:
     """Listing key, five foreign keys and the measures the listings carry."""
-    keys = [dim_key(df, n, hex_digits).alias(key) for n, (key, _) in DIMENSIONS.items()]
+    keys = [dim_key(n, hex_digits).alias(key) for n, (key, _) in DIMENSIONS.items()]
     return df.select("listing_id", *keys, *[m for m in MEASURES if m in df.columns])
 
 
@@ -85,7 +93,7 @@ def build_fact_joined(df: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame
     return out.select("listing_id", *keys, *[m for m in MEASURES if m in df.columns])
 
 
-def build_star(df: DataFrame, hex_digits: int = 10) -> dict[str, DataFrame]:
+def build_star(df: DataFrame, hex_digits: int | None = None) -> dict[str, DataFrame]:
     """All six tables from listings that carry ``listing_id``."""
     tables = {name: build_dim(df, name, hex_digits) for name in DIMENSIONS}
     return {**tables, FACT: build_fact(df, hex_digits)}
@@ -102,11 +110,11 @@ def check_star(star: Mapping[str, DataFrame]) -> DataFrame:
     spark = fact.sparkSession
     named = {**{n: key for n, (key, _) in DIMENSIONS.items()}, FACT: "listing_id"}
     keys = F.array(*[
-        F.struct(F.lit(n).alias("table_name"), F.col(key).alias("key")) for n, key in named.items()
+        F.struct(F.lit(n).alias("table_name"), F.col(key).cast("string").alias("key")) for n, key in named.items()
     ])
     used = fact.select(F.inline(keys)).groupBy("table_name", "key").agg(F.count("*").alias("n"))
     dims = reduce(DataFrame.unionAll, [
-        star[n].select(F.lit(n).alias("table_name"), F.col(key).alias("key"))
+        star[n].select(F.lit(n).alias("table_name"), F.col(key).cast("string").alias("key"))
         for n, (key, _) in DIMENSIONS.items()
     ]).groupBy("table_name", "key").agg(F.count("*").alias("n"))
     is_fact = F.col("table_name") == FACT

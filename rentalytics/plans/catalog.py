@@ -98,6 +98,10 @@ WAREHOUSE: dict[str, Query] = {
     "fact_listings_joined": _flat(lambda df: W.build_fact_joined(df, W.build_star(df))),
     "keyed_listings": _flat(W.with_keys),
     "check_star": _star(W.check_star),
+    # Short number keys, for readers that need them.
+    "dim_location_10": _flat(lambda df: W.build_dim(df, "dim_location", 10)),
+    "fact_listings_10": _flat(lambda df: W.build_fact(df, 10)),
+    "keyed_listings_10": _flat(lambda df: W.with_keys(df, 10)),
 }
 
 

@@ -12,7 +12,7 @@ def _schema(**fields: T.DataType) -> T.StructType:
 
 
 SOURCE_A = _schema(
-    realSum=_D, room_type=_S, room_shared=_B, room_private=_B, person_capacity=_D,
+    realSum=_D, room_type=_S, room_shared=_I, room_private=_I, person_capacity=_D,
     host_is_superhost=_S, multi=_I, biz=_I, cleanliness_rating=_D,
     guest_satisfaction_overall=_D, bedrooms=_D, dist=_D, metro_dist=_D, attr_index=_D,
     attr_index_norm=_D, rest_index=_D, rest_index_norm=_D, lng=_D, lat=_D, city=_S,
@@ -27,13 +27,13 @@ SOURCE_B = _schema(
 
 # Position matters: the staging file is loaded by position.
 STAGING = _schema(
-    listing_id=_L, realSum=_D, room_type=_S, room_shared=_S, room_private=_S,
+    listing_id=_S, realSum=_D, room_type=_S, room_shared=_I, room_private=_I,
     person_capacity=_I, host_is_superhost=_I, multi=_I, biz=_I, cleanliness_rating=_D,
     guest_satisfaction_overall=_D, bedrooms=_I, dist=_D, metro_dist=_D, attr_index=_D,
     attr_index_norm=_D, rest_index=_D, rest_index_norm=_D, longitude=_D, latitude=_D,
     city=_S, country=_S, day_type=_S, is_weekend=_I, beds=_I, wifi=_I, kitchen=_I,
-    air_conditioning=_I, parking=_I, tv=_I, heating=_I, location_id=_L, host_id=_L,
-    room_type_id=_L, amenity_id=_L, day_id=_L,
+    air_conditioning=_I, parking=_I, tv=_I, heating=_I, location_id=_S, host_id=_S,
+    room_type_id=_S, amenity_id=_S, day_id=_S,
 )
 
 LISTINGS = T.StructType(

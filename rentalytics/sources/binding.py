@@ -200,7 +200,14 @@ SOURCE_B_RULES: dict[str, str] = {
         "Vienna, Austria, Europe", "Lisbon, Portugal", "Budapest, Hungary", "Toronto, Canada",
         "Barcelona, Spain", "Athens, Greece", "Rome, Italy")),
     "calendar_last_scraped":
-        "case when o_orderkey % 3 = 0"
+        "case when o_orderkey % 19 = 1 then concat(cast(year(o_orderdate) as {text}), '-',"
+        " lpad(cast(month(o_orderdate) as {text}), 2, '0'), '-',"
+        " lpad(cast(day(o_orderdate) as {text}), 2, '0'), case when o_orderkey % 2 = 0 then ' ' else 'T' end, '10:30:00')"
+        " when o_orderkey % 19 = 2 then concat(cast(year(o_orderdate) as {text}),"
+        " lpad(cast(month(o_orderdate) as {text}), 2, '0'), lpad(cast(day(o_orderdate) as {text}), 2, '0'))"
+        " when o_orderkey % 19 = 3 then concat('January ', cast(day(o_orderdate) as {text}), ', 2024')"
+        " when o_orderkey % 19 = 4 then 'some day'"
+        " when o_orderkey % 3 = 0"
         " then concat(cast(month(o_orderdate) as {text}), '/', cast(day(o_orderdate) as {text}),"
         " '/', cast(year(o_orderdate) as {text}))"
         " else concat(cast(year(o_orderdate) as {text}), '-',"

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from rentalytics import constants as C
 from rentalytics import schemas
+from rentalytics.functions.scalars import to_flag
 
 
 def nulls_for_missing(df: DataFrame) -> DataFrame:
@@ -23,29 +24,37 @@ def nulls_for_missing(df: DataFrame) -> DataFrame:
     return df.select([clean(f) for f in df.schema.fields])
 
 
-def _read_csv(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
-    """CSV by column name, in any column order.
-
-    Values are read as text and cast leniently, so one odd cell costs that cell and not
-    the file. ``multiLine`` files cannot be split; write the data in many files.
-    """
-    names = spark.read.options(header=True, **options).csv(path).columns
-    text = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
-    raw = spark.read.schema(text).options(header=True, **options).csv(path)
+def _typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """Text columns cast leniently: one odd cell costs that cell and not the file."""
     cols = []
     for f in schema.fields:
-        if f.name not in names:
-            raise ValueError(f"column {f.name} is missing in {path}")
         c = F.col(f"`{f.name}`")
         c = F.when(~c.isin(*C.MISSING_TEXTS), c)
-        if isinstance(f.dataType, T.IntegerType):  # integers may be written as 1.0
-            c = c.try_cast("double").try_cast("int")
+        if isinstance(f.dataType, T.IntegerType):  # written as 1, 1.0, or a truth value
+            c = F.coalesce(c.try_cast("double").try_cast("int"), to_flag(c))
         else:
             c = c.try_cast(f.dataType)
         cols.append(c.alias(f.name))
     return nulls_for_missing(raw.select(cols))
 
 
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
+    """CSV by column name. All files of a folder have their columns in one order.
+
+    The header of every file is compared with that order, and a file that differs stops the
+    read with its name: laid under another header its values would land in wrong columns.
+    Read such a folder file by file, where any order will do. ``multiLine`` files cannot be
+    split; write the data in many files.
+    """
+    names = spark.read.options(header=True, **options).csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in names]
+    if missing:
+        raise ValueError(f"column {missing[0]} is missing in {path}")
+    text = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
+    raw = spark.read.schema(text).options(header=True, enforceSchema=False, **options).csv(path)
+    return _typed(raw, schema)
+
+
 def read_source_a(spark: SparkSession, path: str) -> DataFrame:
     """Prior city listings."""
     return _read_csv(spark, path, schemas.SOURCE_A)
@@ -62,12 +71,14 @@ def read_listings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_staging(spark: SparkSession, path: str, line_sep: str = "\r\n") -> DataFrame:
-    """Keyed wide file into the staging layout: by position, header skipped."""
-    return (
-        spark.read.schema(schemas.STAGING)
+    """Keyed wide file into the staging layout: by position, header skipped. Flags are 1/0."""
+    text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schemas.STAGING.fields])
+    raw = (
+        spark.read.schema(text)
         .options(header=True, enforceSchema=True, sep=",", lineSep=line_sep)
         .csv(path)
     )
+    return _typed(raw, schemas.STAGING)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from rentalytics.operators import benchmark as A
@@ -92,10 +93,17 @@ def test_expression_keys_equal_joined_keys(spark, sf_dir):
     assert rows(W.build_fact(df)) == rows(W.build_fact_joined(df, W.build_star(df)))
 
 
-def test_boolean_flags_read_true_and_false_in_keys(spark):
-    df = spark.createDataFrame([("Private room", False, True)], "room_type string, room_shared boolean, room_private boolean")
-    want = int(hashlib.md5(b"Private room_False_True").hexdigest()[:10], 16)
-    assert df.select(W.dim_key(df, "dim_room_type")).first()[0] == want
+def test_flags_of_any_type_give_one_key(spark):
+    want = hashlib.md5(b"Private room_0_1").hexdigest()
+    for kind, no, yes in (("boolean", False, True), ("int", 0, 1), ("double", 0.0, 1.0), ("string", "False", "True"), ("string", "0", "1")):
+        df = spark.createDataFrame([("Private room", no, yes)], f"room_type string, room_shared {kind}, room_private {kind}")
+        assert df.select(W.dim_key("dim_room_type")).first()[0] == want
+        assert df.select(W.dim_key("dim_room_type", 10)).first()[0] == int(want[:10], 16)
+
+
+def test_a_collision_stops_the_build(spark, sf_dir):
+    with pytest.raises(ValueError, match="longer keys"):
+        store_star(listings(spark, sf_dir), hex_digits=1)
 
 
 def test_check_star_finds_faults(spark, sf_dir):

@@ -45,7 +45,7 @@ def test_source_b_file_to_common_layout(spark, tmp_path):
     assert sorted((r.city, r.country or "") for r in out) == [
         ("london", "united kingdom"), ("paris", ""), ("paris", "france"), ("paris", "france")]
     odd = [r for r in out if r.room_type is None][0]
-    assert (odd.air_conditioning, odd.wifi, odd.multi, odd.room_private) == (1, 0, 0, False)
+    assert (odd.air_conditioning, odd.wifi, odd.multi, odd.room_private) == (1, 0, 0, 0)
     london = [r for r in out if r.city == "london"][0]
     assert (london.day_type, london.is_weekend) == ("weekday", 0)
     first = [r for r in out if r.country == "france" and r.room_type][0]
@@ -209,3 +209,52 @@ def test_registered_passes_fill_their_gaps(spark, sf_dir, name, targets):
     from rentalytics.plans.catalog import QUERIES
     filled = QUERIES[name](spark, sf_dir)
     assert filled.filter(~I.complete(targets)).count() == 0
+
+
+def test_files_of_other_column_order_are_refused(spark, tmp_path):
+    """Their values would land under the wrong header."""
+    header = [f.name for f in R.schemas.SOURCE_A.fields]
+    folder = tmp_path / "a"
+    folder.mkdir()
+    for k, names in enumerate((header, header[::-1])):
+        row = {n: str(i) for i, n in enumerate(header)}
+        (folder / f"{k}.csv").write_text(",".join(names) + "\n" + ",".join(row[n] for n in names) + "\n")
+    with pytest.raises(Exception, match="CSV header|header"):
+        R.read_source_a(spark, str(folder)).collect()
+    alone = [R.read_source_a(spark, str(folder / f"{k}.csv")).first() for k in (0, 1)]
+    assert alone[0] == alone[1] and alone[0].realSum == 0.0
+
+
+def test_dates_with_times_and_long_months(spark):
+    texts = ["2024-01-06 10:00:00", "2024-01-06T10:00:00", "2024-01-06T10:00:00.123Z", "2024-01-06 10:00", "January 6, 2024",
+             "6 January 2024", "20240106", "1/6/2024 9:30", "2024-01-06T10:00:00+02:00", "2024-01-08", "soon", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, d string")
+    got = [r.day_type for r in K.day_features(df, "d").orderBy("i").collect()]
+    assert got == ["weekend"] * 9 + ["weekday", None, None, None]
+
+
+def test_clean_listings_feed_every_analysis(spark, sf_dir, tmp_path):
+    """Raw sources to clean listings to star to analyses; and the same after a round trip through staging files."""
+    from rentalytics.operators import warehouse as W
+    from rentalytics.plans import analyses as Q
+    from rentalytics.plans.pipeline import clean_listings, store_star
+    from rentalytics.runtime import stage
+    from rentalytics.sources.binding import source_a, source_b
+
+    clean = stage(clean_listings(source_a(spark, sf_dir), source_b(spark, sf_dir)), "test-clean")
+    star = store_star(clean)
+    for name in ("listing_score", "segment_dashboard", "best_deals", "worst_deals", "accessibility_segments", "amenity_tiers",
+                 "insight_columns", "feature_impact", "geo_hotspots", "strategy_scores"):
+        analysis = getattr(Q, name)
+        flat, starred = analysis(clean), analysis(star)
+        assert sorted(map(str, flat.columns)) == sorted(map(str, starred.columns))
+        assert flat.count() == starred.count(), name
+    columns = [f.name for f in R.schemas.STAGING.fields]
+    keyed = W.with_keys(clean).select(*columns)
+    keyed.write.options(header=True, lineSep="\r\n").csv(str(tmp_path / "staging"))
+    back = R.load_staging(spark, str(tmp_path / "staging"))
+    again = W.with_keys(back.drop(*[key for key, _ in W.DIMENSIONS.values()]))
+    for _, (key, _) in W.DIMENSIONS.items():
+        assert {r[0] for r in again.select(key).distinct().collect()} == {r[0] for r in keyed.select(key).distinct().collect()}, key
+    assert Q.feature_impact(back).count() == Q.feature_impact(clean).count()
+    assert Q.segment_dashboard(back).count() == Q.segment_dashboard(clean).count()
