@@ -184,6 +184,21 @@ _B_READ = ", ".join(
              "host_location", "calendar_last_scraped") else n
     for n in SOURCE_B_RULES)
 
+_INTS = {*C.AMENITIES, "room_shared", "room_private", "host_is_superhost", "multi", "biz", "is_weekend"}
+_INTS_A = {"person_capacity", "bedrooms"}
+_NAMES = ("room_type", "city", "country", "day_type")
+
+
+def _filled(table: str) -> str:
+    """One row per column: its type and the rows that fill it."""
+    names = [*_A_COLUMNS, "room_shared", "room_private", "cleanliness_rating", "longitude", "latitude"]
+    names += _B_ONLY if table == "clean_b" else []
+    ints = _INTS | (_INTS_A if table == "clean_a" else set())
+    return " union all ".join(
+        f"select '{n}' as name, '{'int' if n in ints else 'string' if n in _NAMES else 'double'}' as kind,"
+        f" count({n}) as filled from {table}" for n in names)
+
+
 SQL = {
     "read_source_a": with_(SOURCE_A, body=f"select {_A_READ} from source_a"),
     "read_source_b": with_(SOURCE_B, body=f"select {_B_READ} from source_b").replace(
@@ -226,6 +241,12 @@ SQL = {
     "union_sources": with_(
         SOURCE_A, CLEAN_A, SOURCE_B, LOCATED, clean_b(True), MERGED, body="select * from merged"),
     "null_profile": _NULL_PROFILE,
+    "schema_diff": with_(
+        SOURCE_A, CLEAN_A, SOURCE_B, LOCATED, clean_b(True), body=f"""
+select coalesce(a.name, b.name) as column_name,
+ case when b.name is null then 'only_a' when a.name is null then 'only_b' else 'both' end as side,
+ a.kind as type_a, b.kind as type_b, a.filled as filled_a, b.filled as filled_b
+from ({_filled('clean_a')}) a full join ({_filled('clean_b')}) b using (name)"""),
     "split_complete": _split(),
     "fit_scaler": _scaler(),
     "donor_sample": _donors(),

@@ -27,16 +27,27 @@ def ss(y: str) -> str:
  from m, grand)"""
 
 
-def anova_rows(y: str, scale: int = 0) -> str:
+def leading(x: str, digits: int = 9) -> str:
+    """Leading digits of a value; see ``significant`` in the query catalog."""
+    power = f"floor(log10(abs({x})))"
+    return (f"case when {x} = 0 then 0.0e0 else sign({x}) *"
+            f" round(abs({x}) / pow(10.0e0, {power}) + 1.234567e-11, {digits - 1}) end")
+
+
+def power(x: str) -> str:
+    return f"case when {x} <> 0 then cast(floor(log10(abs({x}))) as int) end"
+
+
+def anova_rows(y: str) -> str:
     return f"""
-select '{y}' as response, 'group' as term, cast(df1 as bigint) as df, {r6('ssb', scale)} as sum_sq,
- {r6('ssb / df1', scale)} as mean_sq, {r6('(ssb / df1) / (ssw / df2)')} as f_value from ss_{y}
+select '{y}' as response, 'group' as term, cast(df1 as bigint) as df, {leading('ssb')} as sum_sq,
+ {leading('(ssb / df1)')} as mean_sq, {r6('(ssb / df1) / (ssw / df2)')} as f_value,
+ {power('ssb')} as sum_sq_power, {power('(ssb / df1)')} as mean_sq_power from ss_{y}
 union all
-select '{y}', 'residuals', cast(df2 as bigint), {r6('ssw', scale)}, {r6('ssw / df2', scale)}, null
- from ss_{y}"""
+select '{y}', 'residuals', cast(df2 as bigint), {leading('ssw')}, {leading('(ssw / df2)')}, null,
+ {power('ssw')}, {power('(ssw / df2)')} from ss_{y}"""
 
 
-ANOVA_SCALE = {"realSum": -4, "guest_satisfaction_overall": 3, "cleanliness_rating": 3}
 _E = {(a, b): f"sum(n * cov_{a}_{b})" for i, a in enumerate(YS) for b in YS[i:]}
 _H = {(a, b): f"sum(n * (mean_{a} - grand_{a}) * (mean_{b} - grand_{b}))"
       for i, a in enumerate(YS) for b in YS[i:]}
@@ -103,9 +114,9 @@ select l_extendedprice as realSum, l_quantity / cast(10 as double) as cleanlines
     "quantiles_by_group": f"""select event_type, {r6('quantile_cont(value, 0.1)')} as p10,
  {r6('quantile_cont(value, 0.5)')} as p50, {r6('quantile_cont(value, 0.99)')} as p99
  from events group by 1""",
-    "anova_price": listings(anova_rows("realSum", -4), moments(), ss("realSum")),
+    "anova_price": listings(anova_rows("realSum"), moments(), ss("realSum")),
     "anova_each": listings(
-        " union all ".join(anova_rows(y, ANOVA_SCALE[y]) for y in YS),
+        " union all ".join(anova_rows(y) for y in YS),
         moments(), *[ss(y) for y in YS]),
     "tukey_pairs": listings(
         f"select group_1, group_2, {r6('diff')} as diff, {r6('se')} as se,"

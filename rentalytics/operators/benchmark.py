@@ -10,21 +10,17 @@ from pyspark.sql import functions as F
 from rentalytics import constants as C
 from rentalytics.functions.scalars import difference, percent_difference
 from rentalytics.operators.warehouse import DIMENSIONS, FACT
-from rentalytics.runtime import BROADCAST_ROWS, join_lookup
-
-# Rows these dimensions can hold at most, because their attributes are flags:
-# three states (0, 1, missing) per flag, and two day names or none.
-FLAG_DIMENSION_ROWS = {"dim_host": 3, "dim_amenities": 3**6, "dim_day": 3 * 3**3}
+from rentalytics.runtime import BROADCAST_BYTES, join_lookup, small_or_plain
 
 
 def star(
-    tables: Mapping[str, DataFrame], columns: Sequence[str], broadcast_rows: int = BROADCAST_ROWS
+    tables: Mapping[str, DataFrame], columns: Sequence[str], broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Fact joined to just the dimensions that own ``columns``, priced rows only.
 
-    Flag dimensions are bounded by their flags and are broadcast. Room types are free
-    text and locations grow with the fact: those joins carry no hint, so measured sizes
-    decide, and adaptive execution splits skewed keys.
+    A dimension is broadcast if it measures small when the query is built. A larger one
+    (locations grow with the fact) is joined without a hint, and adaptive execution splits
+    its skewed keys.
     """
     fact = tables[FACT]
     df = fact.filter(F.col("realSum").isNotNull())
@@ -36,7 +32,7 @@ def star(
             continue
         known.update(wanted)
         dim = tables[name].select(key, *wanted)
-        df = df.join(F.broadcast(dim) if name in FLAG_DIMENSION_ROWS else dim, key)
+        df = df.join(small_or_plain(dim, broadcast_bytes), key)
     missing = [c for c in columns if c not in known]
     if missing:
         raise ValueError(f"no table holds {missing}")
@@ -84,7 +80,7 @@ def score(
     value: str = "realSum",
     min_n: int = C.MIN_BENCHMARK,
     bench: DataFrame | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Each row against the benchmark of its group, for groups of at least ``min_n`` rows.
 
@@ -94,7 +90,7 @@ def score(
     bench = benchmark(df, keys, value) if bench is None else bench
     bench = bench.filter(F.col("bench_n") >= min_n).dropna(subset=list(keys))
     salt_by = [c for c in df.columns if c not in keys]
-    joined = join_lookup(df, bench, keys, salt_by, broadcast_rows=broadcast_rows)
+    joined = join_lookup(df, bench, keys, salt_by, broadcast_bytes=broadcast_bytes)
     return joined.withColumns({
         "diff_amount": difference(value, "bench_avg"),
         "diff_percent": percent_difference(value, "bench_avg"),

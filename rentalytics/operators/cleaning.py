@@ -94,16 +94,23 @@ def union_sources(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def schema_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(column_name, side, type_a, type_b): which columns the two frames share."""
+    """(column_name, side, type_a, type_b, filled_a, filled_b): shared columns, and how many rows fill them."""
     ta, tb = dict(a.dtypes), dict(b.dtypes)
+
+    def filled(df: DataFrame, side: str) -> DataFrame:
+        counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+        pairs = [F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias(f"filled_{side}")) for c in df.columns]
+        return counts.select(F.inline(F.array(*pairs)))
+
     rows = [
         (n, "both" if n in ta and n in tb else "only_a" if n in ta else "only_b",
          ta.get(n), tb.get(n))
         for n in dict.fromkeys([*a.columns, *b.columns])
     ]
-    return a.sparkSession.createDataFrame(
+    names = a.sparkSession.createDataFrame(
         rows, "column_name string, side string, type_a string, type_b string"
     )
+    return names.join(filled(a, "a"), "column_name", "left").join(filled(b, "b"), "column_name", "left")
 
 
 def null_profile(df: DataFrame) -> DataFrame:

@@ -27,8 +27,11 @@ def quantiles(
     exact_rows: int = EXACT_ROWS,
     buckets: int = 4096,
 ) -> DataFrame:
-    """One row per group with linearly interpolated quantiles; nulls are ignored."""
-    df = df.select(*by, F.col(value).cast("double").alias("_v")).dropna()
+    """One row per group with linearly interpolated quantiles; nulls are ignored.
+
+    Eager: keys and values are written once, and every pass reads only them.
+    """
+    df = stage(df.select(*by, F.col(value).cast("double").alias("_v")).dropna(), "quantile-values")
     groups = df.groupBy(*by).agg(
         F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     largest = groups.agg(F.max("n")).first()[0] or 0

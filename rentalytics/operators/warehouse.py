@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rentalytics import constants as C
 from rentalytics.functions.scalars import hash_id, key_number, key_text
+from rentalytics.runtime import small_or_plain
 
 # dimension -> (key, attributes)
 DIMENSIONS: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -88,7 +89,7 @@ def build_fact_joined(df: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame
         same = reduce(
             lambda x, y: x & y, [F.col(a).eqNullSafe(F.col(f"_{a}")) for a in attributes]
         )
-        out = out.join(dim, same).drop(*[f"_{a}" for a in attributes])
+        out = out.join(small_or_plain(dim), same).drop(*[f"_{a}" for a in attributes])
     keys = [key for key, _ in DIMENSIONS.values()]
     return out.select("listing_id", *keys, *[m for m in MEASURES if m in df.columns])
 

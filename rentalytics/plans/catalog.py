@@ -207,7 +207,7 @@ CLEANING: dict[str, Query] = {
 
 def _gaps(columns, missing, step, rounding: str = "") -> Query:
     return lambda spark, sf: rounded(
-        step(listings_with_gaps(spark, sf, columns, missing, spread=True)), rounding)
+        step(stage(listings_with_gaps(spark, sf, columns, missing, spread=True), "gaps")), rounding)
 
 
 _ROOMS = (*I.ROOM_HELPERS, *C.ROOM_COUNTS)
@@ -243,16 +243,24 @@ def _events(step: Callable[[DataFrame], DataFrame], rounding: str = "") -> Query
 
 RESPONSES = ("realSum", "guest_satisfaction_overall", "cleanliness_rating")
 _RESPONSES = " ".join((*RESPONSES, "room_type"))
-# Sums of squares are large; they are compared to about ten leading digits.
-_ANOVA_DIGITS = {"realSum": -4, "guest_satisfaction_overall": 3, "cleanliness_rating": 3}
+
+
+def significant(df: DataFrame, columns: str, digits: int = 9) -> DataFrame:
+    """Columns in scientific notation with so many leading digits, whatever their size."""
+    def text(c: str) -> Column:
+        value = F.abs(F.col(c))
+        power = F.floor(F.log10(value))
+        scaled = F.round(value / F.pow(F.lit(10.0), power) + F.lit(1.234567e-11), digits - 1)
+        return F.when(value == 0, F.lit(0.0)).otherwise(F.signum(c) * scaled)
+
+    return df.withColumns({
+        **{c: text(c) for c in columns.split()},
+        **{f"{c}_power": F.when(F.col(c) != 0, F.floor(F.log10(F.abs(F.col(c))))).cast("int") for c in columns.split()},
+    })
 
 
 def _anova_rounded(df: DataFrame) -> DataFrame:
-    parts = [
-        rounded(rounded(df.filter(F.col("response") == y), "sum_sq mean_sq", d), "f_value")
-        for y, d in _ANOVA_DIGITS.items()
-    ]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    return rounded(significant(df, "sum_sq mean_sq"), "f_value")
 
 
 _PRICE = "realSum room_type"
@@ -266,8 +274,8 @@ STATISTICS: dict[str, Query] = {
         lambda df: S.numeric_summary(df, "value"), "q1 median q3 mean"),
     "quantiles_by_group": _events(lambda df: quantiles(
         df, "value", (0.1, 0.5, 0.99), ("p10", "p50", "p99"), ["event_type"]), "p10 p50 p99"),
-    "anova_price": _cols(_PRICE, lambda df: rounded(
-        S.anova(df, "realSum", "room_type", p_values=False), "sum_sq mean_sq", -4), "f_value"),
+    "anova_price": _cols(_PRICE, lambda df: _anova_rounded(
+        S.anova(df, "realSum", "room_type", p_values=False))),
     "anova_price_p": _cols(_PRICE, lambda df: S.anova(df, "realSum", "room_type")),
     "anova_each": _cols(_RESPONSES, lambda df: _anova_rounded(
         S.anova_each(df, RESPONSES, "room_type", p_values=False))),
@@ -389,7 +397,7 @@ def _model_data(spark: SparkSession, sf: str) -> DataFrame:
 
 def _train(spark: SparkSession, sf: str):
     train, test = M.split_holdout(_model_data(spark, sf))
-    return M.train_price_model(train, trees=8, depth=4), train, test
+    return M.train_price_model(train), train, test
 
 
 def train_price_model(spark: SparkSession, sf: str) -> DataFrame:
@@ -400,18 +408,20 @@ def train_price_model(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def predict_price(spark: SparkSession, sf: str) -> DataFrame:
+    """Every listing, those the model was trained on included."""
     model, train, test = _train(spark, sf)
-    return M.predict_price(model, test).select("listing_id", "city", "room_type", "predicted_price")
+    return M.predict_price(model, train.unionAll(test)).select("listing_id", "city", "room_type", "predicted_price")
 
 
 def what_if(spark: SparkSession, sf: str) -> DataFrame:
     """Each city and room type, for two guests on a weekend."""
-    model, train, _ = _train(spark, sf)
-    scenarios = train.select("city", "room_type").distinct().select(
+    model, train, test = _train(spark, sf)
+    everything = train.unionAll(test)
+    scenarios = everything.select("city", "room_type").distinct().select(
         F.concat_ws("|", "city", "room_type").alias("scenario_id"), "city", "room_type",
         F.lit(2).alias("person_capacity"), F.lit(9.0).alias("cleanliness_rating"),
         F.lit(1).alias("is_weekend"))
-    return M.what_if(model, train, scenarios)
+    return M.what_if(model, everything, scenarios)
 
 
 def evaluate_price_model(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,10 +8,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A lookup side is broadcast only after its row count was measured below this bound.
-BROADCAST_ROWS = 200_000
+# A lookup side is broadcast only after its size was measured below this bound.
+BROADCAST_BYTES = 32 << 20
 SALTS = 32
+_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _local_dirs: dict[str, str] = {}  # application -> folder, for local masters only
 
 
@@ -65,6 +67,25 @@ def stage(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all values: eight for a number or a date, the length of texts and of JSON for nested values."""
+    fixed = 8 * sum(isinstance(f.dataType, _FIXED) for f in df.schema.fields)
+    sizes = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.octet_length(c))
+        elif not isinstance(f.dataType, _FIXED):
+            sizes.append(F.octet_length(F.to_json(F.struct(c))))
+    row = df.agg(F.count("*").alias("n"), *[F.sum(s.cast("long")).alias(f"s{i}") for i, s in enumerate(sizes)]).first()
+    return row.n * fixed + sum(row[f"s{i}"] or 0 for i in range(len(sizes)))
+
+
+def small_or_plain(df: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it measures at most so many bytes, else without a hint."""
+    return F.broadcast(df) if measured_bytes(df) <= broadcast_bytes else df
+
+
 def join_lookup(
     rows: DataFrame,
     lookup: DataFrame,
@@ -72,19 +93,22 @@ def join_lookup(
     salt_by: Sequence[str],
     *,
     how: str = "inner",
-    broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join a large frame to an aggregated lookup with one row per key.
 
-    The lookup is computed once and counted. Up to ``broadcast_rows`` it is broadcast,
-    so the large side never moves. Beyond that both sides are shuffled on the key plus
-    a salt taken from ``salt_by``: a key holding a third of all rows is then spread
-    over ``salts`` tasks, at the price of ``salts`` copies of each lookup row.
+    The lookup is computed once (while the query is built) and measured. Up to
+    ``broadcast_bytes`` it is broadcast, so the large side never moves. Beyond that both
+    sides are shuffled on the key plus a salt taken from ``salt_by``: a key holding a third
+    of all rows is then spread over ``salts`` tasks, at the price of ``salts`` copies of each
+    lookup row. By default salts grow with the session's shuffle partitions.
     """
     lookup = stage(lookup, "lookup")
-    if lookup.count() <= broadcast_rows:
+    if measured_bytes(lookup) <= broadcast_bytes:
         return rows.join(F.broadcast(lookup), list(keys), how)
+    if salts is None:
+        salts = max(SALTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return (

@@ -6,7 +6,6 @@ build exactly the same input. ``{weekday}`` and ``{id}`` are the two dialect slo
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,15 +61,13 @@ SPARK_WEEKEND = "weekday(o_orderdate) >= 5"
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """One generic table.
 
-    A table that is a single local file is read by one task. ``spread`` deals its rows
-    out to all cores, for steps that cost far more than the read. A table in a folder of
-    files is read in parallel as it is and never dealt out.
+    ``spread`` deals the rows of a table that is read by fewer tasks than there are cores out
+    to all cores, for steps that cost far more than the read. Larger tables are read in
+    parallel as they are and never dealt out.
     """
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if spread and os.path.isfile(path):
-        df = df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def joined(spark: SparkSession, sf_dir: str, needed: set[str], spread: bool = False) -> DataFrame:

@@ -31,19 +31,21 @@ def write_by_city(
     path: str,
     columns: Sequence[str] = C.CITY_FILE_COLUMNS,
     mode: str = "overwrite",
-    files_per_city: int = 16,
+    files_per_city: int | None = None,
 ) -> None:
     """CSV in one folder per city, named by the city in lower case with underscores.
 
-    Rows are spread over ``files_per_city`` tasks per city, so that a city holding a
-    large share of the rows is not written by one task.
+    By default the write is rebalanced: small cities share a task, and a city that holds a
+    large share of the rows is split by its measured size. ``files_per_city`` sets a number.
     """
     folder = F.lower(F.replace(F.coalesce("city", F.lit("data")), F.lit(" "), F.lit("_")))
     out = df.select(*columns).withColumn("city_file", folder)
-    spread = F.pmod(F.xxhash64(*columns), F.lit(files_per_city))
+    if files_per_city is None:
+        dealt = out.hint("rebalance", "city_file")
+    else:
+        dealt = out.repartition("city_file", F.pmod(F.xxhash64(*columns), F.lit(files_per_city)))
     (
-        out.repartition("city_file", spread)
-        .write.partitionBy("city_file")
+        dealt.write.partitionBy("city_file")
         .mode(mode)
         .options(**CSV_OPTIONS)
         .csv(path)

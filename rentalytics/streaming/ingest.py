@@ -53,7 +53,7 @@ def ingest_city_files(
     Runs until all present files are taken and stops; call it again for later files.
     Each batch is reduced to one row per address and joined against the addresses of the
     table, read without other columns. A batch repeated after a failure therefore adds
-    only what is missing, and the file commit of each write is atomic.
+    only what is missing, also on stores where a write does not appear all at once.
     """
     reader = spark.readStream.schema(schema).options(header=True, recursiveFileLookup=True)
     if files_per_batch:

@@ -23,7 +23,7 @@ def test_salted_join_equals_broadcast(spark):
     big = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
     small = spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     a = join_lookup(big, small, ["k"], ["id"])
-    b = join_lookup(big, small, ["k"], ["id"], broadcast_rows=1, salts=4)
+    b = join_lookup(big, small, ["k"], ["id"], broadcast_bytes=1, salts=4)
     assert rows(a.select("id", "k", "v")) == rows(b.select("id", "k", "v"))
     plan = b._jdf.queryExecution().executedPlan().toString()
     assert "_salt" in plan

@@ -9,7 +9,7 @@ from tests.compare import connect, differences
 
 # No SQL counterpart: trained models, tails of distributions, and the schema report.
 WITHOUT_SQL = {
-    "schema_diff", "clean_listings", "anova_price_p", "tukey_hsd", "manova_wilks_p",
+    "clean_listings", "anova_price_p", "tukey_hsd", "manova_wilks_p",
     "train_price_model", "predict_price", "what_if", "evaluate_price_model",
 }
 

@@ -176,3 +176,23 @@ def test_dashboard_panels(shown):
     assert panels["gauge"].first().gauge_band == "80–100" or panels["gauge"].first().avg_satisfaction == pytest.approx(80.0)
     for p in panels.values():
         p.collect()
+
+
+def test_tails_against_closed_forms():
+    """F with two numerator degrees has a closed form; a range of two means is a two-sided t."""
+    import math
+
+    from rentalytics.functions.tails import f_upper, incomplete_beta, studentized_range_critical, studentized_range_upper
+
+    for df2 in (1.0, 3.0, 40.0, 1e3, 1e6, 1e9, 1e11, 1e12):
+        for f in (0.1, 1.0, 3.0, 7.5, 40.0):
+            assert f_upper(f, 2, df2) == pytest.approx(math.exp(-df2 / 2 * math.log1p(2 * f / df2)), rel=1e-11)
+        for q in (0.5, 2.0, 4.5):
+            assert studentized_range_upper(q, 2, df2) == pytest.approx(f_upper(q * q / 2, 1, df2), abs=1e-10)
+    assert f_upper(3.0, 1, 1e12) == pytest.approx(math.erfc(math.sqrt(1.5)), abs=1e-11)
+    for df1 in (1, 3, 4, 7):  # both sides of the change of method for t
+        for df2 in (9_999.0, 10_000.0):
+            whole = df2 + df1 * 1.3
+            assert f_upper(1.3, df1, df2) == pytest.approx(
+                incomplete_beta(df2 / 2, df1 / 2, df2 / whole, df1 * 1.3 / whole), abs=1e-12)
+    assert studentized_range_critical(0.05, 5, 24_999) - studentized_range_critical(0.05, 5, 25_001) < 1e-7
