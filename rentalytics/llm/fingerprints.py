@@ -148,15 +148,20 @@ def _bucket(id_col: Column, bounds: list[int]) -> Column:
     return F.when(id_col.isNull(), F.lit(n + 1)).otherwise(found)
 
 
-def with_next(docs: DataFrame, id_col: str, text: str, rows_per_bucket: int = 20_000) -> DataFrame:
+def with_next(
+    docs: DataFrame, id_col: str, text: str, rows_per_bucket: int = 4_000, most_buckets: int = 10_000,
+) -> DataFrame:
     """``id``, ``text``, ``bucket``, ``ahead``: rows in descending order of a whole-number id, in buckets of neighbours.
 
     The first rows of a bucket are also at the end of the one before (``ahead`` = 1), the
     first of all at the end of the last, so that each row's next one is in its own
     partition: texts are moved once. Rows with equal ids follow the hash of their text.
+
+    The driver knows one bound per bucket. From ``most_buckets`` on buckets get larger
+    instead of more; a task reads its bucket as a stream, sorted on disk if need be.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    buckets = max(1, -(-ids.count() // rows_per_bucket))
+    buckets = min(most_buckets, max(1, -(-ids.count() // rows_per_bucket)))
     shares = [k / buckets for k in range(1, buckets)]
     bounds = sorted(set(ids.agg(F.percentile_approx("id", shares, 20 * buckets)).first()[0] or [])) if shares else []
     bucket = _bucket(F.col("id"), bounds)
@@ -174,7 +179,7 @@ def with_next(docs: DataFrame, id_col: str, text: str, rows_per_bucket: int = 20
     placed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text")) \
         .withColumn("bucket", bucket).withColumn("place", F.explode(places)) \
         .select("id", "text", F.col("place.bucket").alias("bucket"), F.col("place.ahead").alias("ahead"))
-    return placed.repartition(max(size, 1), "bucket").sortWithinPartitions(
+    return placed.repartitionById(size, F.col("bucket")).sortWithinPartitions(
         "bucket", "ahead", F.col("id").desc_nulls_last(), F.xxhash64("text"), "text")
 
 
