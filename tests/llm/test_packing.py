@@ -60,7 +60,7 @@ def test_padding_at_a_larger_scale(spark):
 
 
 @pytest.mark.parametrize("text", [
-    "It's  we'll\u00a0go\u2003NOW", "ÉTÉ e\u0301 ΣΑΣ", "a\x1cb\x85c\u2028d", "<|endoftext|> x<|startoftext|>y", "123 4.5 —!?", "\ufeffx",
+    "It's  we'll\u00a0go\u2003NOW", "ÉTÉ e\u0301 ΣΑΣ", "a\x1cb\x85c\u2028d", "<|endoftext|> x<|startoftext|>y", "<|ENDOFTEXT|> A<|b", "Word, word!! (Word) <b>|x|", "123 4.5 —!?", "\ufeffx",
     "!" * 100, "a" * 300, "\U0001f600\U0001f468\u200d\U0001f469 ok",
 ])
 def test_words_encode_as_the_whole_text(text):
