@@ -10,7 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from rentalytics import schemas
+from rentalytics.runtime import stage
 
+# Parts of the table by hashed address. A batch reads the addresses of its own parts only.
+BUCKETS = 64
 _ORDER = ("_arrived", "_file")
 
 
@@ -47,27 +50,39 @@ def ingest_city_files(
     schema: StructType = schemas.CITY_FILE,
     files_per_batch: int | None = None,
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
+    buckets: int = BUCKETS,
+    no_address_dir: str | None = None,
 ) -> StreamingQuery:
-    """Append listings of new files to a table in one folder per city; skip known addresses.
+    """Append listings of new files to a table in folders by hashed address; skip known addresses.
 
     Runs until all present files are taken and stops; call it again for later files.
-    Each batch is reduced to one row per address and joined against the addresses of the
-    table, read without other columns. A batch repeated after a failure therefore adds
+    Each batch is reduced to one row per address, written once, and joined against the
+    known addresses of the buckets it touches, read without other columns: take as many
+    buckets as a typical batch leaves most of them alone. The number is fixed for a table.
+    Rows without an address go to ``no_address_dir``, one folder per batch, if it is given,
+    and are left out otherwise. A batch repeated after a failure therefore adds
     only what is missing, also on stores where a write does not appear all at once.
     """
     reader = spark.readStream.schema(schema).options(header=True, recursiveFileLookup=True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    table_schema = StructType(schema.fields)
+    table_schema = StructType(schema.fields).add("bucket", "int")
 
-    def append(batch: DataFrame, _: int) -> None:
+    def append(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        known = session.read.schema(table_schema).parquet(out_dir).select("url")
-        fresh = first_per_url(prepare(batch)).join(known, "url", "left_anti")
-        fresh.write.mode("append").partitionBy("city").parquet(out_dir)
+        batch = prepare(batch)
+        bucket = F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
+        fresh = stage(first_per_url(batch).withColumn("bucket", bucket), "ingest-batch")
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        known = session.read.schema(table_schema).parquet(out_dir).filter(F.col("bucket").isin(touched))
+        new = fresh.join(known.select("url"), "url", "left_anti")
+        new.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(out_dir)
+        if no_address_dir:
+            nameless = batch.filter(F.col("url").isNull()).drop(*_ORDER)
+            nameless.write.mode("overwrite").parquet(f"{no_address_dir}/batch={number}")
 
     # An empty table to read from in the first batch.
-    spark.createDataFrame([], table_schema).write.mode("append").parquet(out_dir)
+    spark.createDataFrame([], table_schema).write.mode("append").partitionBy("bucket").parquet(out_dir)
     return (
         _file_order(reader.csv(in_dir))
         .writeStream.foreachBatch(append)
@@ -80,4 +95,4 @@ def ingest_city_files(
 def read_city_table(
     spark: SparkSession, path: str, schema: StructType = schemas.CITY_FILE
 ) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())

@@ -252,6 +252,18 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
         map(str, got.select(sorted(batch.columns)).collect()))
 
 
+def test_batches_read_their_buckets_and_keep_rows_without_address(spark, tmp_path):
+    inbox, out, progress, rest = (str(tmp_path / d) for d in ("in", "out", "cp", "rest"))
+    O.write_by_city(city_rows(spark, [(f"u{i}", "paris", i) for i in range(50)] + [(None, "rome", 1)]), inbox + "/1")
+    T.ingest_city_files(spark, inbox, out, progress, no_address_dir=rest).awaitTermination()
+    O.write_by_city(city_rows(spark, [("u7", "paris", 9), ("v", None, 1)]), inbox + "/2")
+    T.ingest_city_files(spark, inbox, out, progress, no_address_dir=rest).awaitTermination()
+    got = T.read_city_table(spark, out)
+    assert got.count() == 51 and got.filter("url = 'u7'").first().realSum == 7
+    assert got.columns == [f.name for f in T.schemas.CITY_FILE.fields]
+    assert spark.read.parquet(rest).filter("city = 'rome'").count() == 1
+
+
 def test_repeated_batch_adds_nothing(spark, tmp_path):
     inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
     O.write_by_city(city_rows(spark, [("u1", "paris", 1)]), inbox)
