@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from rentalytics import schemas
 from rentalytics.runtime import stage
@@ -66,7 +66,7 @@ def ingest_city_files(
     reader = spark.readStream.schema(schema).options(header=True, recursiveFileLookup=True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    table_schema = StructType(schema.fields).add("bucket", "int")
+    table_schema = StructType([*schema.fields, StructField("bucket", IntegerType())])
 
     def append(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
