@@ -22,10 +22,11 @@ from pyspark.sql import types as T
 from rentalytics.llm.common import bounded, contiguous, mix64, read, windows, word_hashes
 from rentalytics.runtime import stage
 
-WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9995
+WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 MAX_HASHES = 128
-# n-grams of one block: what one side of a verification holds in memory.
-BLOCK_NGRAMS = 1_000_000
+# n-grams of one block: what one side of a verification holds in memory. Every text counts as some
+# n-grams more, so that a block of short texts has no more than 5,000 of them to compare.
+BLOCK_NGRAMS, TEXT_NGRAMS = 1_000_000, 200
 
 
 def band_plan(similarity: float, recall: float, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -181,7 +182,7 @@ def _joined(rows: DataFrame, id_col: str, text: str, n: int, similarity: float,
 
     spots = classes.select("c", "grams", F.posexplode("bands").alias("band", "h"))
     buckets = spots.groupBy("band", "h").agg(
-        F.count("*").alias("m"), F.sum("grams").alias("weight"), F.bit_xor(F.xxhash64("c")).alias("x1"),
+        F.count("*").alias("m"), F.sum(F.col("grams") + TEXT_NGRAMS).alias("weight"), F.bit_xor(F.xxhash64("c")).alias("x1"),
         F.bit_xor(F.xxhash64("c", F.lit(1))).alias("x2")).filter("m > 1")
     # Buckets of several bands with the same classes are one; the first band's stays.
     buckets = buckets.groupBy("m", "x1", "x2").agg(F.min(F.struct("band", "h", "weight")).alias("b")).select("b.*")
