@@ -27,7 +27,7 @@ from rentalytics.runtime import stage
 
 WINDOW = 2048
 END_ID = 1
-GROUP_PIECES = 2_048
+GROUP_PIECES = 1_024
 _PIECE = T.StructType().add("start", "long").add("length", "long").add("ids_crc32", "long").add("doc_tokens", "long")
 
 
