@@ -27,14 +27,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the first match of a run takes the
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_CHARS = 6
 
-# Credential context: a name that holds one of these words, an assignment, a value without blanks.
+# Credential context: a name that holds one of these words, an assignment, a value. A quoted value has any length;
+# behind a quote that its line does not close, the value is read as a bare one.
 CONTEXT = re.compile(
     r"""(?ai:\b[a-z0-9_.-]*(?:passw(?:or)?d|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key"""
     r"""|private[_-]?key|auth[_-]?key|credentials?|client[_-]?key)[a-z0-9_-]*)["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*"""
-    r"""(?:"([^"\r\n]{1,512})"|'([^'\r\n]{1,512})'|([^\s"'<>,;()]+))""")
+    r"""(?:"([^"\r\n]+)"|'([^'\r\n]+)'|["']?([^\s"'<>,;()]+))""")
 # A value needs at least 10**GUESSES_LOG10 guesses and this many characters to count as a secret.
 GUESSES_LOG10 = 10.0
 GUESS_CHARS = 8
+# Costs of values up to this length are kept for values that come again; longer ones are costed each time.
+KEPT_CHARS = 256
 
 # Words guessers try first, most common first.
 WORDS = (
@@ -119,13 +122,16 @@ def _pieces(value: str) -> Iterator[tuple[int, int, float]]:
             i = j if j - i >= 3 else i + 1
 
 
-@lru_cache(maxsize=20_000)
 def guess_cost(value: str) -> float:
     """log10 of the guesses the cheapest cut of ``value`` needs. An empty value needs one guess.
 
     Brute force costs the same per character wherever it stands, so a stretch of it grows by
     one character in one step, and the search is linear in the length plus the pieces found.
     """
+    return _kept_cost(value) if len(value) <= KEPT_CHARS else _cost(value)
+
+
+def _cost(value: str) -> float:
     n = len(value)
     per_char = math.log10(_letters(value))
     ends: dict[int, list[tuple[int, float]]] = {}
@@ -139,6 +145,11 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+@lru_cache(maxsize=20_000)
+def _kept_cost(value: str) -> float:
+    return _cost(value)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans of the fixed kinds, sorted by start, then kind as listed."""
     spans = []

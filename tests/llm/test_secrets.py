@@ -88,3 +88,13 @@ def test_awkward_rows(spark):
     assert out.columns == [*df.columns, "secret_base", "secret_spans"]
     assert out.count() == 11 and out.filter("text is null").count() == 1
     assert scan(empty(spark), "text").count() == 0
+
+
+def test_long_quoted_values():
+    token = "".join(hashlib.sha256(str(i).encode()).hexdigest()[:5].upper() + "q" for i in range(334))[:2000]
+    pem = r"-----BEGIN_PRIVATE_KEY-----\n" + r"\n".join(token[i:i + 64] for i in range(0, 1600, 64)) + r"\n-----END_PRIVATE_KEY-----\n"
+    for name, value in (("client_key", token), ("pwd", token), ('"private_key"', pem)):
+        for quote in "\"'":
+            text = f"{name}: {quote}{value}{quote}, and more"
+            assert guessed_spans(text) == [(len(name) + 3, len(name) + 3 + len(value), "guess")]
+    assert guessed_spans('pwd="x9$Kq!vT2m#Lw8') == [(5, 19, "guess")]
