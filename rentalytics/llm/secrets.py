@@ -27,12 +27,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the first match of a run takes the
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_CHARS = 6
 
-# Credential context: a name that holds one of these words, an assignment, a value. A quoted value has any length;
-# behind a quote that its line does not close, the value is read as a bare one.
+# Credential context: a name whose last dotted part holds one of these words, an assignment, a value. Every name is
+# tried, also one inside the value of another. A quoted value has any length; behind a quote that its line does not
+# close, the value is read as a bare one.
 CONTEXT = re.compile(
-    r"""(?ai:\b[a-z0-9_.-]*(?:passw(?:or)?d|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key"""
-    r"""|private[_-]?key|auth[_-]?key|credentials?|client[_-]?key)[a-z0-9_-]*)["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*"""
-    r"""(?:"([^"\r\n]+)"|'([^'\r\n]+)'|["']?([^\s"'<>,;()]+))""")
+    r"""(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)["']?[\x20\t]*+(?::=|=>|[:=])[\x20\t]*+""")
+NAME = re.compile(
+    r"""(?ai:passw(?:or)?d|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key"""
+    r"""|private[_-]?key|auth[_-]?key|credentials?|client[_-]?key)""")
+QUOTED = re.compile(r""""([^"\r\n]+)"|'([^'\r\n]+)'""")
+BARE = re.compile(r"""["']?([^\s"'<>,;()]+)""")
+# A bare value that is itself the name of an assignment: a key behind a bracket, or letters only, then a further value.
+INNER = re.compile(r"""(?:[{\[]+[\w.-]+|[^\W\d]+(?:[.-][^\W\d]+)*)["']?[\x20\t]*(?::=|=>|:|=(?!=))[\x20\t]*[^\s:=]""")
 # A value needs at least 10**GUESSES_LOG10 guesses and this many characters to count as a secret.
 GUESSES_LOG10 = 10.0
 GUESS_CHARS = 8
@@ -161,16 +167,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(spans, key=_order)
 
 
+def context_values(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of every value in credential context, in order of the names.
+
+    A bare value ends where the next credential name in it begins, so ``a_token=x&b_token=y``
+    holds two values, and each stretch of text is read for one bare value only.
+    """
+    if ":" not in text and "=" not in text:
+        return
+    names = [(m.start(), m.end()) for m in CONTEXT.finditer(text) if NAME.search(m[1].rpartition(".")[2])]
+    for (_, at), (stop, _) in zip(names, [*names[1:], (len(text), 0)]):
+        if m := QUOTED.match(text, at):
+            yield m.span(m.lastindex)
+        elif (m := BARE.match(text, at, max(at, stop))) and not INNER.match(text, m.start(1)):
+            yield m.start(1), m.start(1) + len(m[1].rstrip(".!?:*#$%&|"))  # without sentence marks
+
+
 def guessed_spans(text: str, threshold: float = GUESSES_LOG10) -> list[tuple[int, int, str]]:
     """Values in credential context that cost at least 10**threshold guesses."""
-    if ":" not in text and "=" not in text:
-        return []
     found = []
-    for m in CONTEXT.finditer(text):
-        k = next(k for k in (1, 2, 3) if m[k] is not None)
-        start, end = m.span(k)
-        if k == 3:  # sentence marks behind a bare value
-            end = start + len(m[k].rstrip(".!?:*#$%&|"))
+    for start, end in context_values(text):
         value = text[start:end]
         if len(value) < GUESS_CHARS or any(c.isspace() for c in value) or value.isalpha() and value.islower():
             continue

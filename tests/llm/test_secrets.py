@@ -98,3 +98,16 @@ def test_long_quoted_values():
             text = f"{name}: {quote}{value}{quote}, and more"
             assert guessed_spans(text) == [(len(name) + 3, len(name) + 3 + len(value), "guess")]
     assert guessed_spans('pwd="x9$Kq!vT2m#Lw8') == [(5, 19, "guess")]
+
+
+def test_names_inside_values():
+    secret = "x9$Kq!vT2m#Lw8"
+    for text in (f'credentials: {{api_key: "{secret}"}}', f"secret: password: {secret}", f"secret: password={secret}",
+                 f"credentials: {{user: me, api_key: {secret} }}", f'credentials: {{connectionstring: "db", pwd: "{secret}"}}',
+                 f"password=token={secret}"):
+        at = text.index(secret)
+        assert guessed_spans(text) == [(at, at + len(secret), "guess")], text
+    assert len(guessed_spans(f"GET /?a_token={secret}&b_token=Zr4t9QpL0aXm1")) == 2
+    assert guessed_spans("secret: ConnectionStringName: none") == []
+    assert guessed_spans("token=Zr4t9QpL0aXm1w== and more") == [(6, 22, "guess")]
+    assert guessed_spans("password: Zr4t9QpL0aXm: keep it") == [(10, 22, "guess")]
