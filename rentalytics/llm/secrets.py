@@ -2,15 +2,16 @@
 
 How hard a value is to guess is the smallest cost, over all ways to cut it, of guessing
 its pieces as words, dates, repeats, keyboard walks or plain brute force. A placeholder
-such as ``changeme`` is cheap; a generated key is not.
+such as ``changeme`` is cheap; a generated key is not. Words are those guessers try first and
+the most frequent ones of all texts.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rentalytics.llm.common import bounded, read
+from rentalytics.runtime import stage
 
 # The base kinds, in the order they are listed in.
 KINDS = ("assign", "access", "hex", "guess")
@@ -57,8 +59,41 @@ WORDS = (
     "and", "for", "this", "that", "with", "from", "not", "you", "are", "have", "new", "old", "demo", "dev", "prod",
     "staging", "local", "host", "localhost", "config", "setting", "system", "network", "security", "manager", "office",
 )
-RANKS = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+# Passwords that leaked most often, most common first; those that are walks, repeats or digits are cheap without a list.
+COMMON = tuple("""
+password iloveyou princess rockyou nicole daniel babygirl monkey lovely jessica michael ashley sunshine chocolate anthony
+angel friends butterfly purple jordan liverpool justin loveme football secret andrea carlos jennifer joshua bubbles
+superman hannah amanda loveyou pretty basketball andrew angels tweety flower playboy hello elizabeth hottie tinkerbell
+charlie samantha barbie chelsea lovers teamo jasmine brandon shadow melissa eminem matthew robert danielle forever family
+jonathan computer whatever dragon vanessa cookie naruto summer sweety spongebob joseph junior softball taylor yellow
+daniela lauren mickey princesa alexandra alexis jesus estrella miguel william thomas beautiful mylove angela poohbear
+patrick iloveme sakura adrian alexander destiny christian sayang america dancer monica richard diamond princesse orange
+carolina steven rangers louise trustno letmein welcome master baseball access hunter ranger batman buster soccer harley
+hockey george killer pepper maggie ginger abcdef cheese thunder matrix phoenix silver merlin cowboy corvette mustang
+ferrari mercedes porsche maverick camaro yankees lakers dallas steelers packers arsenal chester bailey cooper peanut
+snoopy scooter tigger winner gandalf starwars pokemon samsung nintendo metallica nirvana slipknot blink greenday queen
+freedom heaven hello pass admin administrator guest root oracle changeit default system manager operator support test
+tester demo temp temporary public private backup login passw qwerty azerty asdf zxcvbn whatsup nothing internet service
+cisco linux ubuntu debian windows apache tomcat mysql postgres mongo redis docker kubernetes jenkins github gitlab
+raspberry vagrant ansible hunter zaq trustme open sesame money power success winter spring autumn flower banana
+""".split())
+# The dictionary counted from the texts: at most so many words, each of so many letters and in so many texts at least.
+DICTIONARY, WORD_CHARS, WORD_TEXTS = 50_000, 24, 3
+_RUNS = re.compile(r"[^\W\d_]{3,}")
+# Different words a task counts before it passes them on.
+_HELD_WORDS = 500_000
+
+
+def _ranked(*lists: Sequence[str]) -> dict[str, int]:
+    """The best rank of each word in any of the lists."""
+    ranks: dict[str, int] = {}
+    for words in lists:
+        for i, w in enumerate(words, 1):
+            ranks[w] = min(i, ranks.get(w, i))
+    return ranks
+
+
+RANKS = _ranked(WORDS, COMMON)
 _LEET = str.maketrans("@4310$5!7+", "aaeiossitt")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _KEYS = {c: (r, k + r / 2) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
@@ -85,15 +120,15 @@ def _next_keys(a: str, b: str) -> bool:
     return bool(p and q and a != b and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1)
 
 
-def _pieces(value: str) -> Iterator[tuple[int, int, float]]:
+def _pieces(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, float]]:
     """(start, end, log10 of the guesses) of everything that is easier than brute force."""
     low, n = value.lower(), len(value)
     plain = low.translate(_LEET)
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = RANKS.get(low[i:j])
+        for j in range(i + 3, min(n, i + WORD_CHARS) + 1):
+            rank = ranks.get(low[i:j])
             leet = 0.0
-            if rank is None and (rank := RANKS.get(plain[i:j])):
+            if rank is None and (rank := ranks.get(plain[i:j])):
                 leet = math.log10(2.0) * sum(x != y for x, y in zip(low[i:j], plain[i:j]))
             if rank:
                 piece = value[i:j]
@@ -134,14 +169,14 @@ def guess_cost(value: str) -> float:
     Brute force costs the same per character wherever it stands, so a stretch of it grows by
     one character in one step, and the search is linear in the length plus the pieces found.
     """
-    return _kept_cost(value) if len(value) <= KEPT_CHARS else _cost(value)
+    return _guess_cost(value)
 
 
-def _cost(value: str) -> float:
+def _cost(value: str, ranks: dict[str, int]) -> float:
     n = len(value)
     per_char = math.log10(_letters(value))
     ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in _pieces(value):
+    for i, j, cost in _pieces(value, ranks):
         ends.setdefault(j, []).append((i, cost))
     best = [0.0] + [math.inf] * n
     for j in range(1, n + 1):
@@ -151,9 +186,23 @@ def _cost(value: str) -> float:
     return best[n]
 
 
-@lru_cache(maxsize=20_000)
-def _kept_cost(value: str) -> float:
-    return _cost(value)
+def coster(ranks: dict[str, int]) -> Callable[[str], float]:
+    """``guess_cost`` by the given words."""
+    kept: dict[str, float] = {}
+
+    def cost(value: str) -> float:
+        if len(value) > KEPT_CHARS:
+            return _cost(value, ranks)
+        if value not in kept:
+            if len(kept) >= 20_000:
+                kept.clear()
+            kept[value] = _cost(value, ranks)
+        return kept[value]
+
+    return cost
+
+
+_guess_cost = coster(RANKS)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -183,14 +232,16 @@ def context_values(text: str) -> Iterator[tuple[int, int]]:
             yield m.start(1), m.start(1) + len(m[1].rstrip(".!?:*#$%&|"))  # without sentence marks
 
 
-def guessed_spans(text: str, threshold: float = GUESSES_LOG10) -> list[tuple[int, int, str]]:
+def guessed_spans(
+    text: str, threshold: float = GUESSES_LOG10, cost: Callable[[str], float] = guess_cost,
+) -> list[tuple[int, int, str]]:
     """Values in credential context that cost at least 10**threshold guesses."""
     found = []
     for start, end in context_values(text):
         value = text[start:end]
         if len(value) < GUESS_CHARS or any(c.isspace() for c in value) or value.isalpha() and value.islower():
             continue
-        if guess_cost(value) >= threshold:
+        if cost(value) >= threshold:
             found.append((start, end, "guess"))
     return found
 
@@ -213,6 +264,52 @@ def redacted(text: str, spans: Sequence[tuple[int, int, str]], mark: str) -> str
     return "".join([*out, text[at:]])
 
 
+def text_words(text: str) -> set[str]:
+    """The words of a text, in small letters. Values in credential context are no words, however often they are copied."""
+    at, parts = 0, []
+    for start, end in context_values(text):
+        if start >= at:
+            parts.append(text[at:start])
+        at = max(at, end)
+    return set(_RUNS.findall(" ".join([*parts, text[at:]]).lower()))
+
+
+def frequent_words(rows: DataFrame, text: str) -> list[str]:
+    """The words that most texts hold, most frequent first, at most ``DICTIONARY``.
+
+    Every text is read. Counts are binned by eighths of a doubling, and whole bins are taken
+    while they fit, so no task ever sorts the words.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            words = [w for w in held if len(w) <= WORD_CHARS]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([held[w] for w in words], pa.int64())],
+                                              names=["word", "n"])
+
+        for batch in bounded(batches, "text"):
+            for t in batch.column("text").to_pylist():
+                held.update(text_words(t or ""))
+            if len(held) > _HELD_WORDS:
+                yield out()
+                held.clear()
+        yield out()
+
+    counts = rows.select(rows[text].cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(
+        F.sum("n").alias("n")).filter(F.col("n") >= WORD_TEXTS)
+    counts = stage(counts.withColumn("bin", F.floor(8 * F.log2("n")).cast("int")), "words")
+    total, least = 0, None
+    for r in sorted(counts.groupBy("bin").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.bin):
+        total += r.words
+        if total > DICTIONARY:
+            break
+        least = r.bin
+    if least is None:
+        return []
+    return [r.word for r in sorted(counts.filter(F.col("bin") >= least).collect(), key=lambda r: (-r.n, r.word))]
+
+
 def scan(
     rows: DataFrame, text: str, *, mark: str | None = None, threshold: float = GUESSES_LOG10, keep_text: bool = True,
 ) -> DataFrame:
@@ -220,6 +317,7 @@ def scan(
 
     With ``mark`` the text column holds the redacted text: what spans cover becomes the mark.
     Without ``keep_text`` that column is left out and does not travel back from Python.
+    The words of ``rows`` are counted first, by a job of their own.
 
     A null text has no spans and stays null; an empty one too. Long texts are scanned whole.
     Rows keep their other columns, whatever their names but the two new ones, which are
@@ -232,12 +330,15 @@ def scan(
     schema = T.StructType([packed.schema["row"], *(T.StructField(c, T.StringType()) for c in ("base", "spans")),
                            *([T.StructField("text", T.StringType())] if keep_text else [])])
 
+    words = rows.sparkSession.sparkContext.broadcast(frequent_words(rows, text))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cost = coster(_ranked(WORDS, COMMON, words.value))
         for batch in bounded(batches, "text"):
             base, spans, texts = [], [], []
             for t in batch.column("text").to_pylist():
                 fixed = base_spans(t or "")
-                every = sorted([*fixed, *guessed_spans(t or "", threshold)], key=_order)
+                every = sorted([*fixed, *guessed_spans(t or "", threshold, cost)], key=_order)
                 base.append(joined(fixed))
                 spans.append(joined(every))
                 if keep_text:

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from rentalytics.llm.secrets import KINDS, guess_cost, guessed_spans, query, redact, scan
+from rentalytics.llm.secrets import KINDS, frequent_words, guess_cost, guessed_spans, query, redact, scan
 from tests.llm.data import SECRET, awkward, documents, empty
 
 BASE = (
@@ -111,3 +111,15 @@ def test_names_inside_values():
     assert guessed_spans("secret: ConnectionStringName: none") == []
     assert guessed_spans("token=Zr4t9QpL0aXm1w== and more") == [(6, 22, "guess")]
     assert guessed_spans("password: Zr4t9QpL0aXm: keep it") == [(10, 22, "guess")]
+
+
+def test_words_of_all_texts_are_cheap(spark):
+    texts = ["the whitespace tokenizer splits a configuration parameter"] * 5 + [
+        "tokenizer: WhitespaceTokenizer", "client_key = ConfigurationParameter", "pwd=Xkqzvbnwpltrghjs"] + ["pwd=Xkqzvbnwpltrghjs"] * 9
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    spans = {r.text: r.secret_spans for r in scan(df, "text").collect()}
+    assert spans.pop("pwd=Xkqzvbnwpltrghjs") == "guess:4:20"  # a copied value is no word
+    assert set(spans.values()) == {""}
+    words = frequent_words(df, "text")
+    assert "whitespace" in words and "xkqzvbnwpltrghjs" not in words
+    assert frequent_words(df.limit(0), "text") == []
