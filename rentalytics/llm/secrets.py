@@ -1,7 +1,7 @@
 """Secret scans: credential patterns, and values in credential context that would be hard to guess.
 
 How hard a value is to guess is the smallest cost, over all ways to cut it, of guessing
-its pieces as words, dates, repeats, keyboard walks or plain brute force. A placeholder
+its pieces as words, separators, dates, repeats, keyboard walks or plain brute force. A placeholder
 such as ``changeme`` is cheap; a generated key is not. Words are those guessers try first and
 the most frequent ones of all texts.
 """
@@ -39,11 +39,13 @@ NAME = re.compile(
     r"""|private[_-]?key|auth[_-]?key|credentials?|client[_-]?key)""")
 QUOTED = re.compile(r""""([^"\r\n]+)"|'([^'\r\n]+)'""")
 BARE = re.compile(r"""["']?([^\s"'<>,;()]+)""")
-# A bare value that is itself the name of an assignment: a key behind a bracket, or letters only, then a further value.
-INNER = re.compile(r"""(?:[{\[]+[\w.-]+|[^\W\d]+(?:[.-][^\W\d]+)*)["']?[\x20\t]*(?::=|=>|:|=(?!=))[\x20\t]*[^\s:=]""")
-# A value needs at least 10**GUESSES_LOG10 guesses and this many characters to count as a secret.
+# A bare value that is itself the name of an assignment: a key behind a bracket, or letters only, then a separator and
+# a further value that is not part of the same token. A ``=`` right behind a value is padding.
+INNER = re.compile(
+    r"""(?:[{\[]+[\w.-]+|[^\W\d]+(?:[.-][^\W\d]+)*)["']?[\x20\t]*"""
+    r"""(?:(?::=|=>|:|(?<=[\x20\t])=(?!=))(?:[\x20\t]+(?=\S)|(?=["']))|=(?=["']))""")
+# A value needs at least 10**GUESSES_LOG10 guesses to count as a secret, whatever its length and characters.
 GUESSES_LOG10 = 10.0
-GUESS_CHARS = 8
 # Costs of values up to this length are kept for values that come again; longer ones are costed each time.
 KEPT_CHARS = 256
 
@@ -95,6 +97,7 @@ def _ranked(*lists: Sequence[str]) -> dict[str, int]:
 
 RANKS = _ranked(WORDS, COMMON)
 _LEET = str.maketrans("@4310$5!7+", "aaeiossitt")
+SEPARATORS = " _-."  # between words
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _KEYS = {c: (r, k + r / 2) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
 _DATE = re.compile(
@@ -136,6 +139,8 @@ def _pieces(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, float
                 yield i, j, math.log10(rank) + leet + case
         if m := _DATE.match(value, i):
             yield i, m.end(), math.log10(365 * 120) if m.end() - i > 4 else math.log10(120)
+        if value[i] in SEPARATORS:
+            yield i, i + 1, math.log10(len(SEPARATORS))
     for size in (1, 2, 3, 4):  # the same stretch again and again
         i = 0
         while i + 2 * size <= n:
@@ -238,10 +243,7 @@ def guessed_spans(
     """Values in credential context that cost at least 10**threshold guesses."""
     found = []
     for start, end in context_values(text):
-        value = text[start:end]
-        if len(value) < GUESS_CHARS or any(c.isspace() for c in value) or value.isalpha() and value.islower():
-            continue
-        if cost(value) >= threshold:
+        if cost(text[start:end]) >= threshold:
             found.append((start, end, "guess"))
     return found
 
