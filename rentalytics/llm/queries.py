@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 from rentalytics.llm import (
-    classifier, fingerprints, jaccard_join, mixing, packing, quality_rules, secrets, sharding, training_order,
-    urls,
+    classifier, divergence, fingerprints, jaccard_join, mixing, packing, quality_rules, secrets, sharding,
+    training_order, urls,
 )
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.query,
     "op9_training_order": training_order.query,
     "op10_url_rules": urls.query,
+    "op13_divergence": divergence.query,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op10_url_rules": urls.SQL}
+SQL = {"op10_url_rules": urls.SQL, "op13_divergence": divergence.SQL}
