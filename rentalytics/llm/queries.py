@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from rentalytics.llm import (
-    classifier, divergence, fingerprints, jaccard_join, mixing, packing, quality_rules, secrets, sharding,
+    classifier, divergence, fingerprints, jaccard_join, licenses, mixing, packing, quality_rules, secrets, sharding,
     training_order, urls,
 )
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.query,
     "op9_training_order": training_order.query,
     "op10_url_rules": urls.query,
+    "op11_licenses": licenses.query,
     "op13_divergence": divergence.query,
     "pipeline": corpus_pipeline.run,
 }
