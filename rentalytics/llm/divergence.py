@@ -1,8 +1,8 @@
 """Source divergence audit: how far each source's term shares stand from its language's and from each other source's.
 
-Per language a ``CountVectorizer`` (a minimum document frequency, the largest vocabulary Spark allows) gives exact sparse
-count vectors of the documents; their entries are summed per group in Spark, and pairs of sources are evaluated on the
-terms that either of them holds, the rest in one closed term.
+A ``CountVectorizer`` with one vocabulary per language (a minimum document frequency, the largest vocabulary Spark
+allows) gives exact sparse count vectors of the documents; their entries are summed per group in Spark, and pairs of
+sources meet only on the terms they share, the rest in closed terms.
 """
 
 from __future__ import annotations
@@ -53,44 +53,37 @@ def term_lists(docs: DataFrame, text: str = "text", lang: str = "lang", source:
 
 
 def vectors(lists: DataFrame, min_df: int = MIN_DF) -> tuple[DataFrame, DataFrame]:
-    """Sparse count vectors of every document by its language's ``CountVectorizer``, and the vocabularies.
+    """Sparse count vectors of every document by ``CountVectorizer``, one vocabulary per language, and the vocabularies.
 
-    Returns ``(lang, source, vector)`` with ``vector`` as its stored struct (``indices``, ``values``), and
-    ``(lang, i, term)``. A language without a term in ``min_df`` documents has an empty vocabulary and empty vectors.
-    Each language's vocabulary passes through the driver, as ``CountVectorizer`` keeps it in its model.
+    Terms are prefixed by their language before the fit, so one model holds the vocabularies of all languages side by
+    side: a term's document frequency is counted among its language's documents only, and a vector holds only
+    its language's terms. Returns ``(lang, source, vector)`` with ``vector`` as a struct (``indices``, ``values``),
+    and ``(lang, i, term)``. Without a term in ``min_df`` documents of its language the vocabulary is empty and so are
+    the vectors. The vocabularies pass through the driver, as ``CountVectorizer`` keeps them in its model.
     """
     spark = lists.sparkSession
-    staged = stage(lists.withColumn("part", F.concat(F.lit("l"), F.hex(F.encode("lang", "UTF-8")))), "terms", ["part"])
-    languages = [(r.lang, r.part) for r in staged.select("lang", "part").distinct().collect()]
-    path = stage_path(spark, "vectors")
-    words: list[DataFrame] = []
-    for lang, part in sorted(languages):
-        rows = staged.filter(F.col("part") == part).select("lang", "source", "terms")
-        fit = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=VOCAB_SIZE)
-        try:
-            model = fit.fit(rows)
-            vocabulary = model.vocabulary
-        except Exception as e:  # Spark refuses an empty vocabulary; that language simply has no kept term
-            if "vocabulary size should be > 0" not in str(e):
-                raise
-            vocabulary = []
-        if vocabulary:
-            model.transform(rows).select("lang", "source", "vector").write.mode("append").parquet(path)
-            words.append(spark.createDataFrame(list(enumerate(vocabulary)), "i int, term string")
-                         .select(F.lit(lang).alias("lang"), "i", "term"))
+    prefix = F.concat(F.hex(F.encode("lang", "UTF-8")), F.lit(":"))
+    keyed = lists.select("lang", "source", F.transform("terms", lambda t: F.concat(prefix, t)).alias("terms"))
+    fit = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=VOCAB_SIZE)
+    try:
+        model = fit.fit(keyed)
+        vocabulary = model.vocabulary
+    except Exception as e:  # Spark refuses an empty vocabulary: then no language keeps a term
+        if "vocabulary size should be > 0" not in str(e):
+            raise
+        vocabulary = []
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
                            T.StructField("vector", _VECTOR)])
-    found = spark.read.schema(schema).parquet(path) if words else spark.createDataFrame([], schema)
-    vocabularies = stage(_union(words), "vocabulary") if words else spark.createDataFrame(
-        [], "lang string, i int, term string")
-    return found, vocabularies
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    if not vocabulary:
+        return spark.createDataFrame([], schema), spark.createDataFrame([], "lang string, i int, term string")
+    # The vector leaves the model as its stored struct: written once and read with the struct's schema.
+    path = stage_path(spark, "vectors")
+    model.transform(keyed).select("lang", "source", "vector").write.parquet(path)
+    named = spark.createDataFrame(list(enumerate(vocabulary)), "i int, term string")
+    cut = F.instr("term", ":")
+    words = named.select(F.decode(F.unhex(F.substr("term", F.lit(1), cut - 1)), "UTF-8").alias("lang"), "i",
+                         F.substr("term", cut + 1).alias("term"))
+    return spark.read.schema(schema).parquet(path), stage(words, "vocabulary")
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", *,
@@ -142,29 +135,43 @@ def terms_part(counts: DataFrame, totals: DataFrame, vocabularies: DataFrame, to
 
 
 def pairs_part(counts: DataFrame, totals: DataFrame, groups: DataFrame) -> DataFrame:
-    """Every other source of the language, by the summed gap over all kept terms."""
+    """Every other source of the language, by the summed gap over all kept terms.
+
+    With ``p0`` a group's share of an absent term and ``f`` the gap, the sum over all V terms is
+    ``A + B + sum over shared terms of (f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)) + (V - |g| - |o|) f(p0, q0)``, where
+    A sums ``f(p, q0)`` over the group's terms and B ``f(p0, q)`` over the other's. A and B come from histograms of
+    counts (one row per distinct count), so only terms two sources share meet in pairs.
+    """
+    wide = "decimal(38,0)"
     others = small_or_plain(groups.select("lang", F.col("source").alias("other")))
-    mine = counts.join(others, "lang").filter(F.col("source") != F.col("other")).select(
-        "lang", "source", "other", "i", F.col("c").alias("cg"), F.lit(0).cast("long").alias("co"))
-    theirs = counts.join(others, "lang").filter(F.col("source") != F.col("other")).select(
-        "lang", F.col("other").alias("source"), F.col("source").alias("other"), "i",
-        F.lit(0).cast("long").alias("cg"), F.col("c").alias("co"))
-    union = mine.unionByName(theirs).groupBy("lang", "source", "other", "i").agg(
-        F.max("cg").alias("cg"), F.max("co").alias("co"))
     g = totals.select("lang", "source", F.col("n").alias("ng"), "v")
     o = totals.select("lang", F.col("source").alias("other"), F.col("n").alias("no"))
-    union = join_lookup(join_lookup(union, g, ["lang", "source"], ["other", "i"]), o, ["lang", "other"], ["source", "i"])
-    pg, po = share(F.col("cg"), F.col("ng"), F.col("v")), share(F.col("co"), F.col("no"), F.col("v"))
-    summed = union.groupBy("lang", "source", "other").agg(
-        F.sum(gap(pg, po).cast("decimal(38,0)")).alias("s"), F.count("*").alias("u"))
+    zero = F.lit(0).cast("long")
+    p0, q0 = share(zero, F.col("ng"), F.col("v")), share(zero, F.col("no"), F.col("v"))
+    hist = counts.groupBy("lang", "source", "c").agg(F.count("*").alias("m"))
     pairs = groups.join(others, "lang").filter(F.col("source") != F.col("other"))
     pairs = pairs.join(small_or_plain(g), ["lang", "source"]).join(small_or_plain(o), ["lang", "other"])
-    pairs = pairs.join(summed, ["lang", "source", "other"], "left")
-    zero = F.lit(0).cast("long")
-    rest = gap(share(zero, F.col("ng"), F.col("v")), share(zero, F.col("no"), F.col("v")))
-    value = F.when(F.col("v") == 0, F.lit(0)).otherwise(
-        F.coalesce("s", F.lit(0)) + (F.col("v") - F.coalesce("u", F.lit(0))).cast("decimal(38,0)") * rest)
-    ranked = pairs.select("lang", "source", F.col("other").alias("item"), value.cast("long").alias("value"))
+    pairs = stage(pairs, "pairs")
+    own = hist.join(pairs, ["lang", "source"]).groupBy("lang", "source", "other").agg(
+        F.sum((gap(share(F.col("c"), F.col("ng"), F.col("v")), q0) * F.col("m")).cast(wide)).alias("a"),
+        F.sum("m").alias("sg"))
+    theirs = hist.withColumnRenamed("source", "other").join(pairs, ["lang", "other"]).groupBy(
+        "lang", "source", "other").agg(
+        F.sum((gap(p0, share(F.col("c"), F.col("no"), F.col("v"))) * F.col("m")).cast(wide)).alias("b"),
+        F.sum("m").alias("so"))
+    mine = counts.select("lang", "source", "i", F.col("c").alias("cg"))
+    yours = counts.select("lang", F.col("source").alias("other"), "i", F.col("c").alias("co"))
+    shared = mine.join(yours, ["lang", "i"]).filter(F.col("source") != F.col("other"))
+    shared = join_lookup(shared, pairs, ["lang", "source", "other"], ["i"])
+    p, q = share(F.col("cg"), F.col("ng"), F.col("v")), share(F.col("co"), F.col("no"), F.col("v"))
+    both = shared.groupBy("lang", "source", "other").agg(
+        F.sum((gap(p, q) - gap(p, q0) - gap(p0, q) + gap(p0, q0)).cast(wide)).alias("i_sum"))
+    value = (F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0)) + F.coalesce("i_sum", F.lit(0))
+             + (F.col("v") - F.coalesce("sg", F.lit(0)) - F.coalesce("so", F.lit(0))).cast(wide) * gap(p0, q0))
+    value = F.when(F.col("v") == 0, F.lit(0)).otherwise(value)
+    keys = ["lang", "source", "other"]
+    ranked = pairs.join(own, keys, "left").join(theirs, keys, "left").join(both, keys, "left").select(
+        "lang", "source", F.col("other").alias("item"), value.cast("long").alias("value"))
     return ranked.withColumn("rank", F.row_number().over(
         Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")).cast("int")).select(
         "lang", "source", F.lit("pair").alias("part"), "item", "value", "rank")
