@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from rentalytics.llm import (
     classifier, divergence, fingerprints, jaccard_join, licenses, mixing, packing, quality_rules, secrets, sharding,
-    training_order, urls,
+    training_order, urls, variants,
 )
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op9_training_order": training_order.query,
     "op10_url_rules": urls.query,
     "op11_licenses": licenses.query,
+    "op12_variants": variants.query,
     "op13_divergence": divergence.query,
     "pipeline": corpus_pipeline.run,
 }
