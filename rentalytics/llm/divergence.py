@@ -59,7 +59,8 @@ def vectors(lists: DataFrame, min_df: int = MIN_DF) -> tuple[DataFrame, DataFram
     side: a term's document frequency is counted among its language's documents only, and a vector holds only
     its language's terms. Returns ``(lang, source, vector)`` with ``vector`` as a struct (``indices``, ``values``),
     and ``(lang, i, term)``. Without a term in ``min_df`` documents of its language the vocabulary is empty and so are
-    the vectors. The vocabularies pass through the driver, as ``CountVectorizer`` keeps them in its model.
+    the vectors. The vocabularies are held by the driver's JVM, as ``CountVectorizer`` keeps them in its model;
+    the table of terms is read back from the saved model by the executors.
     """
     spark = lists.sparkSession
     prefix = F.concat(F.hex(F.encode("lang", "UTF-8")), F.lit(":"))
@@ -67,22 +68,24 @@ def vectors(lists: DataFrame, min_df: int = MIN_DF) -> tuple[DataFrame, DataFram
     fit = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=VOCAB_SIZE)
     try:
         model = fit.fit(keyed)
-        vocabulary = model.vocabulary
     except Exception as e:  # Spark refuses an empty vocabulary: then no language keeps a term
         if "vocabulary size should be > 0" not in str(e):
             raise
-        vocabulary = []
+        model = None
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
                            T.StructField("vector", _VECTOR)])
-    if not vocabulary:
+    if model is None:
         return spark.createDataFrame([], schema), spark.createDataFrame([], "lang string, i int, term string")
     # The vector leaves the model as its stored struct: written once and read with the struct's schema.
     path = stage_path(spark, "vectors")
     model.transform(keyed).select("lang", "source", "vector").write.parquet(path)
-    named = spark.createDataFrame(list(enumerate(vocabulary)), "i int, term string")
+    # The vocabulary is read from the saved model, so that it never passes through Python.
+    saved = stage_path(spark, "vectorizer")
+    model.write().save(saved)
+    named = spark.read.parquet(f"{saved}/data").select(F.posexplode("vocabulary").alias("i", "term"))
     cut = F.instr("term", ":")
-    words = named.select(F.decode(F.unhex(F.substr("term", F.lit(1), cut - 1)), "UTF-8").alias("lang"), "i",
-                         F.substr("term", cut + 1).alias("term"))
+    words = named.select(F.decode(F.unhex(F.substr("term", F.lit(1), cut - 1)), "UTF-8").alias("lang"),
+                         F.col("i").cast("int").alias("i"), F.substr("term", cut + 1).alias("term"))
     return spark.read.schema(schema).parquet(path), stage(words, "vocabulary")
 
 
