@@ -110,52 +110,96 @@ def copies(word: str, n: int) -> list[tuple]:
     return out
 
 
+_LEVEL_TABLE = np.zeros(256, np.int64)
+for _c, _l in _LEVEL.items():
+    _LEVEL_TABLE[ord(_c)] = _l
+# Query copies searched together against one bucket's trie.
+CHUNK = 20_000
+
+
+def vectors_of(words: list[str]) -> np.ndarray:
+    """Frequency vectors of many words at once (one row each)."""
+    out = np.zeros((len(words), LEVELS), np.int64)
+    if not words:
+        return out
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    np.add.at(out, (rows, _LEVEL_TABLE[codes]), 1)
+    return out
+
+
 class Bucket:
-    """The index words of one bucket, sorted by their vectors below the top levels: an implicit trie."""
+    """The index words of one bucket, sorted by their vectors below the top levels: an implicit trie.
+
+    Rows sorted by vector make every trie node a range of rows. For each level, ``keys[level]`` holds the row's node
+    at that level times ``width`` plus its count there, a non-decreasing array: the range of a node's child with count
+    c is where the key equals node * width + c.
+    """
 
     def __init__(self, words: list[str], counts: list[int]) -> None:
-        vectors = np.array([vector(w)[TOP:] for w in words], np.int32).reshape(len(words), LEVELS - TOP)
+        vectors = vectors_of(words)[:, TOP:]
         order = np.lexsort(vectors.T[::-1]) if len(words) else np.zeros(0, np.int64)
         self.vectors = vectors[order]
         self.words = [words[i] for i in order]
         self.counts = [counts[i] for i in order]
-
-    def leaves(self, target: np.ndarray, surplus: int, deficit: int) -> Iterator[int]:
-        """Rows whose vectors differ from ``target`` by exactly the budget: a surplus of one on one level and a deficit
-        of one on another, as asked. Searched depth-first: a level's child is its count, one more while surplus is
-        left, or one less while deficit is left."""
+        self.width = int(self.vectors.max(initial=0)) + 3
+        self.nodes, self.keys = [], []
+        node = np.zeros(len(words), np.int64)
+        for level in range(LEVELS - TOP):
+            key = node * self.width + self.vectors[:, level]
+            self.nodes.append(node)
+            self.keys.append(key)
+            node = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(key) else node
+
+    def leaves(self, targets: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of every index row whose vector differs from the query's target by exactly its budget: one up
+        on one level where ``surplus`` is 1, one down on another where ``deficit`` is 1.
+
+        All queries descend the trie together, level by level: a node's children are its count, one more while
+        surplus is left, one less while deficit is left; a path that could no longer spend its budget stops.
+        """
         depth = LEVELS - TOP
-        stack = [(0, len(self.words), 0, surplus, deficit)]
-        while stack:
-            lo, hi, level, s, d = stack.pop()
-            if level == depth:
-                if s == 0 and d == 0:
-                    yield from range(lo, hi)
-                continue
-            if depth - level < s + d:
-                continue
-            column = self.vectors[lo:hi, level]
-            here = int(target[level])
+        if not self.words or not len(targets):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        query = np.arange(len(targets))
+        lo, hi = np.zeros(len(targets), np.int64), np.full(len(targets), len(self.words), np.int64)
+        s, d = surplus.astype(np.int64), deficit.astype(np.int64)
+        for level in range(depth):
+            left = depth - level - 1
+            node = self.nodes[level][lo]
+            here = targets[query, level]
+            parts = []
             for delta, ds, dd in ((0, 0, 0), (1, 1, 0), (-1, 0, 1)):
-                if ds > s or dd > d or here + delta < 0:
+                ns, nd = s - ds, d - dd
+                ok = (ns >= 0) & (nd >= 0) & (here + delta >= 0) & (ns + nd <= left)
+                if not ok.any():
                     continue
-                a = lo + int(np.searchsorted(column, here + delta, "left"))
-                b = lo + int(np.searchsorted(column, here + delta, "right"))
-                if a < b:
-                    stack.append((a, b, level + 1, s - ds, d - dd))
-
-    def near(self, word: str, surplus: int, deficit: int) -> tuple[int, str | None, int]:
-        """Near words of this bucket on the copy's path: their number, and the one of largest count (ties: least)."""
-        target = vector(word)[TOP:]
-        found, best, best_n = 0, None, -1
-        for row in self.leaves(target, surplus, deficit):
-            other = self.words[row]
+                want = node[ok] * self.width + here[ok] + delta
+                a = np.searchsorted(self.keys[level], want, "left")
+                b = np.searchsorted(self.keys[level], want, "right")
+                hit = a < b
+                parts.append((query[ok][hit], a[hit], b[hit], ns[ok][hit], nd[ok][hit]))
+            if not parts:
+                return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            query, lo, hi, s, d = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        sizes = hi - lo
+        rows = np.repeat(lo - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        return np.repeat(query, sizes), rows
+
+    def near(self, words: list[str], surplus: np.ndarray, deficit: np.ndarray) -> list[tuple[int, str | None, int]]:
+        """For each query copy: how many near words of this bucket lie on its path, and the one of largest count
+        (ties: least in code-point order)."""
+        found = [[0, None, -1] for _ in words]
+        queries, rows = self.leaves(vectors_of(words)[:, TOP:], surplus, deficit)
+        for q, row in zip(queries.tolist(), rows.tolist()):
+            word, other = words[q], self.words[row]
             if one_edit(word, other):
-                found += 1
+                f = found[q]
+                f[0] += 1
                 n = self.counts[row]
-                if n > best_n or (n == best_n and other < best):
-                    best, best_n = other, n
-        return found, best, best_n
+                if n > f[2] or (n == f[2] and other < f[1]):
+                    f[1], f[2] = other, n
+        return [tuple(f) for f in found]
 
 
 def _copy_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,15 +211,32 @@ def _copy_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket, part and kind: the index rows of a bucket part come before its query copies."""
+    """Rows sorted by bucket, part and kind: the index rows of a bucket part come before its query copies, which are
+    searched in chunks of ``CHUNK`` against the part's trie."""
     key, index_words, index_counts, bucket = None, [], [], None
-    out: dict[str, list] = {name: [] for name in _FOUND.names}
+    held: dict[str, list] = {"word": [], "surplus": [], "deficit": []}
+
+    def flush() -> pa.RecordBatch | None:
+        nonlocal held
+        if not held["word"]:
+            return None
+        trie = bucket if bucket is not None else Bucket(index_words, index_counts)
+        found = trie.near(held["word"], np.array(held["surplus"]), np.array(held["deficit"]))
+        kept = [(w, *f) for w, f in zip(held["word"], found) if f[0]]
+        held = {"word": [], "surplus": [], "deficit": []}
+        if not kept:
+            return None
+        return pa.RecordBatch.from_pydict({name: [k[i] for k in kept] for i, name in enumerate(_FOUND.names)},
+                                          schema=_ARROW_FOUND)
+
+    names = ("length", "t0", "t1", "t2", "part", "kind", "word", "n", "surplus", "deficit")
     for batch in batches:
-        cols = {name: batch.column(name).to_pylist() for name in ("length", "t0", "t1", "t2", "part", "kind", "word",
-                                                                 "n", "surplus", "deficit")}
+        cols = {name: batch.column(name).to_pylist() for name in names}
         for i in range(batch.num_rows):
             here = (cols["length"][i], cols["t0"][i], cols["t1"][i], cols["t2"][i], cols["part"][i])
             if here != key:
+                if (out := flush()) is not None:
+                    yield out
                 key, index_words, index_counts, bucket = here, [], [], None
             if cols["kind"][i] == 0:
                 index_words.append(cols["word"][i])
@@ -183,15 +244,13 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if bucket is None:
                 bucket = Bucket(index_words, index_counts)
-            found, best, best_n = bucket.near(cols["word"][i], cols["surplus"][i], cols["deficit"][i])
-            if found:
-                for name, value in zip(_FOUND.names, (cols["word"][i], found, best, best_n)):
-                    out[name].append(value)
-        if len(out["word"]) >= 10_000:
-            yield pa.RecordBatch.from_pydict(out, schema=_ARROW_FOUND)
-            out = {name: [] for name in _FOUND.names}
-    if out["word"]:
-        yield pa.RecordBatch.from_pydict(out, schema=_ARROW_FOUND)
+            held["word"].append(cols["word"][i])
+            held["surplus"].append(cols["surplus"][i])
+            held["deficit"].append(cols["deficit"][i])
+            if len(held["word"]) >= CHUNK and (out := flush()) is not None:
+                yield out
+    if (out := flush()) is not None:
+        yield out
 
 
 _ARROW_FOUND = pa.schema([("word", pa.string()), ("n_near", pa.int64()), ("best", pa.string()), ("best_n", pa.int64())])

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -68,7 +69,7 @@ def near_by_trie(words):
     for q in queries:
         b = built.get(q[:4])
         if b is not None:
-            found[q[5]] += b.near(q[5], q[7], q[8])[0]
+            found[q[5]] += b.near([q[5]], np.array([q[7]]), np.array([q[8]]))[0][0]
     return found
 
 
