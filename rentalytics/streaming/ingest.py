@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from rentalytics import schemas
-from rentalytics.runtime import stage
 
-# Parts of the table by hashed address. A batch reads the addresses of its own parts only.
-BUCKETS = 64
 _ORDER = ("_arrived", "_file")
 
 
@@ -42,6 +43,46 @@ def batch_city_files(
     return first_per_url(_file_order(files))
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _first_row(frame: pd.DataFrame, columns: list[str]) -> pd.DataFrame:
+    """The row of the earliest file, then the smallest row, as ``first_per_url`` orders them (nulls first)."""
+    if len(frame) == 1:
+        return frame
+    return frame.sort_values(by=columns, na_position="first", kind="mergesort").head(1)
+
+
+class FirstPerAddress(StatefulProcessor):
+    """Keyed by address: the first row of an address is passed on once, every later one is dropped.
+
+    The state of an address is one flag in the state store; a batch touches the keys it holds and no others, so its
+    cost does not depend on how many addresses are known. Rows without an address are all passed on.
+    """
+
+    def __init__(self, columns: list[str]) -> None:
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True)
+        if key[0] is None:
+            yield frame
+            return
+        if self.seen.exists():
+            return
+        self.seen.update((True,))
+        yield _first_row(frame, self.columns)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.seen.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
 def ingest_city_files(
     spark: SparkSession,
     in_dir: str,
@@ -50,48 +91,68 @@ def ingest_city_files(
     schema: StructType = schemas.CITY_FILE,
     files_per_batch: int | None = None,
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
-    buckets: int = BUCKETS,
-    no_address_dir: str | None = None,
 ) -> StreamingQuery:
-    """Append listings of new files to a table in folders by hashed address; skip known addresses.
-
-    Runs until all present files are taken and stops; call it again for later files.
-    Each batch is reduced to one row per address, written once, and joined against the
-    known addresses of the buckets it touches, read without other columns: take as many
-    buckets as a typical batch leaves most of them alone. The number is fixed for a table.
-    Rows without an address go to ``no_address_dir``, one folder per batch, if it is given,
-    and are left out otherwise. A batch repeated after a failure therefore adds
-    only what is missing, also on stores where a write does not appear all at once.
+    """Append listings of new files to a table, each address once: of the earliest file, then the smallest row.
+
+    Runs until all present files are taken and stops; call it again for later files. The known addresses are keyed
+    state in the RocksDB state store of the checkpoint (made the session's provider, which this needs), so a batch
+    costs by its own rows, not by the size of the table. A new checkpoint over an existing table starts with the
+    table's addresses as its state. Each batch is written to its own folder, named by checkpoint and batch number,
+    and replaced when a failed batch runs again: nothing is written twice. Rows without an address are all kept.
     """
+    if not _rocks(spark):  # keyed state of this kind lives in RocksDB only
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     reader = spark.readStream.schema(schema).options(header=True, recursiveFileLookup=True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    table_schema = StructType([*schema.fields, StructField("bucket", IntegerType())])
+    fields = [f.name for f in schema.fields]
+    # Python sees columns of leading underscores under other names: the order columns get plain ones.
+    order = ["arrived_at", "read_from", *[c for c in fields if c != "url"]]
+    rows = prepare(_file_order(reader.csv(in_dir))).select(
+        "url", F.col(_ORDER[0]).alias(order[0]), F.col(_ORDER[1]).alias(order[1]), *order[2:])
+    out_schema = StructType([*[schema[c] for c in fields]])
+    tag = hashlib.sha1(checkpoint_dir.encode()).hexdigest()[:12]
+    known = _known(spark, out_dir, schema)
+    stateful = rows.groupBy("url").transformWithStateInPandas(
+        statefulProcessor=_Processor(order, fields), outputStructType=out_schema, outputMode="Append",
+        timeMode="None", initialState=known.groupBy("url") if known is not None else None)
 
     def append(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        batch = prepare(batch)
-        bucket = F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
-        fresh = stage(first_per_url(batch).withColumn("bucket", bucket), "ingest-batch")
-        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        known = session.read.schema(table_schema).parquet(out_dir).filter(F.col("bucket").isin(touched))
-        new = fresh.join(known.select("url"), "url", "left_anti")
-        new.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(out_dir)
-        if no_address_dir:
-            nameless = batch.filter(F.col("url").isNull()).drop(*_ORDER)
-            nameless.write.mode("overwrite").parquet(f"{no_address_dir}/batch={number}")
-
-    # An empty table to read from in the first batch.
-    spark.createDataFrame([], table_schema).write.mode("append").partitionBy("bucket").parquet(out_dir)
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch={tag}-{number}")
+
     return (
-        _file_order(reader.csv(in_dir))
-        .writeStream.foreachBatch(append)
+        stateful.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint_dir)
         .trigger(availableNow=True)
         .start()
     )
 
 
+class _Processor(FirstPerAddress):
+    """``FirstPerAddress`` that returns the table's columns only."""
+
+    def __init__(self, order: list[str], fields: list[str]) -> None:
+        super().__init__(order)
+        self.fields = fields
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in super().handleInputRows(key, rows, timerValues):
+            yield frame[self.fields]
+
+
+def _rocks(spark: SparkSession) -> bool:
+    return spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") == ROCKSDB
+
+
+def _known(spark: SparkSession, out_dir: str, schema: StructType) -> DataFrame | None:
+    """The addresses of the table so far, or None where there is no table yet."""
+    try:
+        table = spark.read.schema(schema).parquet(out_dir)
+    except AnalysisException:
+        return None
+    return table.select("url").filter(F.col("url").isNotNull()).distinct()
+
+
 def read_city_table(
     spark: SparkSession, path: str, schema: StructType = schemas.CITY_FILE
 ) -> DataFrame:
