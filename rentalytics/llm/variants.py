@@ -202,53 +202,111 @@ class Bucket:
         return [tuple(f) for f in found]
 
 
+def _plans() -> list[tuple[int, int | None, int | None, bool]]:
+    """(length change, surplus level or -1 for below, deficit level likewise, Latin-1 words only) of each copy kind."""
+    below = [*range(TOP), -1]
+    plans = [(0, None, None, True)]
+    plans += [(1, up, None, False) for up in below]
+    plans += [(-1, None, down, False) for down in below]
+    plans += [(0, up, down, False) for up in below for down in below if up != down or up == -1]
+    return plans
+
+
+PLANS = _plans()
+_COPY_ARROW = pa.schema([pa.field(f.name, pa.int32() if isinstance(f.dataType, T.IntegerType) else
+                                  pa.int64() if isinstance(f.dataType, T.LongType) else pa.string())
+                         for f in _COPY.fields])
+
+
+def copy_batch(words: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """``copies`` of many words at once, made plan by plan with array operations."""
+    texts = words.to_pylist()
+    v = vectors_of(texts)
+    size = np.array([len(w) for w in texts], np.int64)
+    latin = v[:, len(ORDER):].any(axis=1)
+    parts = [(np.arange(len(texts)), size, v[:, :TOP], 0, 0, 0)]
+    for change, up, down, latin_only in PLANS:
+        t = v[:, :TOP].copy()
+        ok = size + change >= 1
+        if latin_only:
+            ok &= latin
+        if up is not None and up >= 0:
+            t[:, up] += 1
+        if down is not None and down >= 0:
+            ok &= t[:, down] > 0
+            t[:, down] -= 1
+        rows = np.flatnonzero(ok)
+        parts.append((rows, size[rows] + change, t[rows], 1, int(up == -1), int(down == -1)))
+    rows = np.concatenate([p[0] for p in parts])
+    lengths = np.concatenate([p[1] for p in parts])
+    tops = np.concatenate([p[2] for p in parts])
+    fill = lambda k: np.concatenate([np.full(len(p[0]), p[k], np.int32) for p in parts])
+    index = pa.array(rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(lengths.astype(np.int32)), *[pa.array(tops[:, k].astype(np.int32)) for k in range(TOP)],
+         pa.array(fill(3)), words.take(index), pa.array(counts[rows].astype(np.int64)), pa.array(fill(4)),
+         pa.array(fill(5))], schema=_COPY_ARROW)
+
+
 def _copy_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [c for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()) for c in copies(w, n)]
-        yield pa.RecordBatch.from_pylist([dict(zip(_COPY.names, r)) for r in rows], schema=pa.schema(
-            [pa.field(f.name, pa.int32() if isinstance(f.dataType, T.IntegerType) else
-                      pa.int64() if isinstance(f.dataType, T.LongType) else pa.string()) for f in _COPY.fields]))
+        if batch.num_rows:
+            yield copy_batch(batch.column("word"), batch.column("n").to_numpy(zero_copy_only=False))
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket, part and kind: the index rows of a bucket part come before its query copies, which are
-    searched in chunks of ``CHUNK`` against the part's trie."""
+    searched in chunks of ``CHUNK`` against the part's trie. Work is done per run of equal keys, not per row."""
     key, index_words, index_counts, bucket = None, [], [], None
-    held: dict[str, list] = {"word": [], "surplus": [], "deficit": []}
+    held_words: list[str] = []
+    held_s: list[np.ndarray] = []
+    held_d: list[np.ndarray] = []
 
     def flush() -> pa.RecordBatch | None:
-        nonlocal held
-        if not held["word"]:
+        nonlocal held_words, held_s, held_d
+        if not held_words:
             return None
         trie = bucket if bucket is not None else Bucket(index_words, index_counts)
-        found = trie.near(held["word"], np.array(held["surplus"]), np.array(held["deficit"]))
-        kept = [(w, *f) for w, f in zip(held["word"], found) if f[0]]
-        held = {"word": [], "surplus": [], "deficit": []}
+        found = trie.near(held_words, np.concatenate(held_s), np.concatenate(held_d))
+        kept = [(w, *f) for w, f in zip(held_words, found) if f[0]]
+        held_words, held_s, held_d = [], [], []
         if not kept:
             return None
         return pa.RecordBatch.from_pydict({name: [k[i] for k in kept] for i, name in enumerate(_FOUND.names)},
                                           schema=_ARROW_FOUND)
 
-    names = ("length", "t0", "t1", "t2", "part", "kind", "word", "n", "surplus", "deficit")
     for batch in batches:
-        cols = {name: batch.column(name).to_pylist() for name in names}
-        for i in range(batch.num_rows):
-            here = (cols["length"][i], cols["t0"][i], cols["t1"][i], cols["t2"][i], cols["part"][i])
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "t0", "t1", "t2", "part")],
+                        axis=1)
+        kind = batch.column("kind").to_numpy(zero_copy_only=False)
+        texts = batch.column("word").to_pylist()
+        counts = batch.column("n").to_pylist()
+        surplus = batch.column("surplus").to_numpy(zero_copy_only=False)
+        deficit = batch.column("deficit").to_numpy(zero_copy_only=False)
+        changed = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1) | (kind[1:] != kind[:-1])) + 1
+        for a, b in zip([0, *changed.tolist()], [*changed.tolist(), batch.num_rows]):
+            here = tuple(keys[a].tolist())
             if here != key:
                 if (out := flush()) is not None:
                     yield out
                 key, index_words, index_counts, bucket = here, [], [], None
-            if cols["kind"][i] == 0:
-                index_words.append(cols["word"][i])
-                index_counts.append(cols["n"][i])
+            if kind[a] == 0:
+                index_words.extend(texts[a:b])
+                index_counts.extend(counts[a:b])
                 continue
             if bucket is None:
                 bucket = Bucket(index_words, index_counts)
-            held["word"].append(cols["word"][i])
-            held["surplus"].append(cols["surplus"][i])
-            held["deficit"].append(cols["deficit"][i])
-            if len(held["word"]) >= CHUNK and (out := flush()) is not None:
-                yield out
+            start = a
+            while start < b:
+                stop = min(b, start + CHUNK - len(held_words))
+                held_words.extend(texts[start:stop])
+                held_s.append(surplus[start:stop])
+                held_d.append(deficit[start:stop])
+                start = stop
+                if len(held_words) >= CHUNK and (out := flush()) is not None:
+                    yield out
     if (out := flush()) is not None:
         yield out
 

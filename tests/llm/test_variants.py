@@ -116,3 +116,14 @@ def test_against_brute_force(spark):
 def test_awkward_and_empty(spark):
     assert rows_of(group_variants(awkward(spark))) == by_hand([(r[0], r[1]) for r in ROWS])
     assert group_variants(empty(spark)).count() == 0
+
+
+def test_copies_in_arrays_equal_the_rule():
+    import pyarrow as pa
+
+    from rentalytics.llm.variants import copy_batch
+
+    rnd = random.Random(1)
+    words = ["".join(rnd.choice("abeiqxàé") for _ in range(rnd.randint(1, 9))) for _ in range(300)]
+    got = sorted(tuple(r.values()) for r in copy_batch(pa.array(words), np.arange(300)).to_pylist())
+    assert got == sorted(c for i, w in enumerate(words) for c in copies(w, i))
