@@ -1,8 +1,11 @@
 """Source divergence audit: how far each source's term shares stand from its language's and from each other source's.
 
-A ``CountVectorizer`` with one vocabulary per language (a minimum document frequency, the largest vocabulary Spark
-allows) gives exact sparse count vectors of the documents; their entries are summed per group in Spark, and pairs of
-sources meet only on the terms they share, the rest in closed terms.
+Per language, terms found in a minimum number of documents are kept, with no bound on their number; their counts are
+summed per group in Spark, and pairs of sources meet only on the terms they share, the rest in closed terms.
+``vectors`` gives the same counts by a ``CountVectorizer`` per language, exact sparse document vectors summed per
+group; it holds the vocabularies on the driver, which at 0.5 GB of documents took more than 1.5 GB there, so the
+registered audit counts its vocabulary as a table (``group_counts``) and ``vectors`` is kept for smaller corpora and
+tested to agree.
 """
 
 from __future__ import annotations
@@ -89,6 +92,32 @@ def vectors(lists: DataFrame, min_df: int = MIN_DF) -> tuple[DataFrame, DataFram
     return spark.read.schema(schema).parquet(path), stage(words, "vocabulary")
 
 
+def group_counts(lists: DataFrame, min_df: int = MIN_DF) -> tuple[DataFrame, DataFrame]:
+    """``(lang, source, term, c)``: each group's count of every kept term it holds, and ``(lang, v)``.
+
+    The same counts as ``vectors`` gives, summed per group, with the vocabulary as a table: a language keeps the terms
+    found in ``min_df`` of its documents or more, without any bound on their number, and nothing reaches the driver.
+    Both counts are aggregated on the map side before they are shuffled.
+    """
+    per_doc = lists.select("lang", "source", "terms")
+    kept = stage(per_doc.select("lang", F.explode(F.array_distinct("terms")).alias("term"))
+                 .groupBy("lang", "term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
+                 .select("lang", "term"), "vocabulary")
+    sizes = kept.groupBy("lang").agg(F.count("*").cast("long").alias("v"))
+    found = per_doc.select("lang", "source", F.explode("terms").alias("term")).groupBy("lang", "source", "term").agg(
+        F.count("*").alias("c"))
+    return stage(found.join(kept, ["lang", "term"]), "counts"), sizes
+
+
+def vectorizer_counts(lists: DataFrame, min_df: int = MIN_DF) -> DataFrame:
+    """``group_counts`` by way of ``vectors``: ``CountVectorizer``'s sparse vectors summed per group."""
+    found, vocabularies = vectors(lists, min_df)
+    entry = F.explode(F.arrays_zip(F.col("vector.indices").alias("i"), F.col("vector.values").alias("c")))
+    sums = found.select("lang", "source", entry.alias("e")).groupBy("lang", "source", F.col("e.i").alias("i")).agg(
+        F.sum(F.col("e.c").cast("long")).alias("c"))
+    return sums.join(vocabularies, ["lang", "i"]).select("lang", "source", "term", "c")
+
+
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", *,
           min_df: int = MIN_DF, top: int = TOP_TERMS) -> DataFrame:
     """``lang, source, part, item, value, rank`` for every (lang, source) group that occurs.
@@ -102,31 +131,25 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     kept terms has pair rows and no term rows; an empty table gives no rows; other columns are ignored.
     """
     lists = term_lists(docs, text, lang, source)
-    found, vocabularies = vectors(lists, min_df)
+    counts, sizes = group_counts(lists, min_df)
     groups = stage(lists.select("lang", "source").distinct(), "groups")
-    sizes = vocabularies.groupBy("lang").agg(F.count("*").cast("long").alias("v"))
-    entry = F.explode(F.arrays_zip(F.col("vector.indices").alias("i"), F.col("vector.values").alias("c")))
-    counts = stage(found.select("lang", "source", entry.alias("e"))
-                   .groupBy("lang", "source", F.col("e.i").alias("i")).agg(F.sum(F.col("e.c").cast("long")).alias("c")),
-                   "counts")
     totals = stage(groups.join(counts.groupBy("lang", "source").agg(F.sum("c").alias("n")), ["lang", "source"], "left")
                    .join(small_or_plain(sizes), "lang", "left")
                    .select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v")),
                    "totals")
-    return terms_part(counts, totals, vocabularies, top).unionByName(pairs_part(counts, totals, groups))
+    return terms_part(counts, totals, top).unionByName(pairs_part(counts, totals, groups))
 
 
-def terms_part(counts: DataFrame, totals: DataFrame, vocabularies: DataFrame, top: int) -> DataFrame:
+def terms_part(counts: DataFrame, totals: DataFrame, top: int) -> DataFrame:
     """Terms each group holds more of than its language, at most ``top`` of them, ranked."""
-    by_lang = counts.groupBy("lang", "i").agg(F.sum("c").alias("cl"))
+    by_lang = counts.groupBy("lang", "term").agg(F.sum("c").alias("cl"))
     lang_totals = totals.groupBy("lang").agg(F.sum("n").alias("nl"), F.max("v").alias("v"))
-    rows = join_lookup(counts, totals, ["lang", "source"], ["i"])
-    rows = join_lookup(rows, by_lang, ["lang", "i"], ["source"])
+    rows = join_lookup(counts, totals, ["lang", "source"], ["term"])
+    rows = join_lookup(rows, by_lang, ["lang", "term"], ["source"])
     rows = rows.join(small_or_plain(lang_totals.drop("v")), "lang")
     p, q = share(F.col("c"), F.col("n"), F.col("v")), share(F.col("cl"), F.col("nl"), F.col("v"))
-    scored = rows.select("lang", "source", "i", p.alias("p"), q.alias("q")).filter("p > q")
-    scored = join_lookup(scored.select("lang", "source", "i", gap(F.col("p"), F.col("q")).alias("value")),
-                         vocabularies, ["lang", "i"], ["source"])
+    scored = rows.select("lang", "source", "term", p.alias("p"), q.alias("q")).filter("p > q")
+    scored = scored.select("lang", "source", "term", gap(F.col("p"), F.col("q")).alias("value"))
     order = [F.col("value").desc(), F.col("item")]
     spread = scored.select("lang", "source", F.col("term").alias("item"), "value").withColumn(
         "_sub", F.pmod(F.xxhash64("item"), F.lit(SPREAD)))
@@ -162,10 +185,10 @@ def pairs_part(counts: DataFrame, totals: DataFrame, groups: DataFrame) -> DataF
         "lang", "source", "other").agg(
         F.sum((gap(p0, share(F.col("c"), F.col("no"), F.col("v"))) * F.col("m")).cast(wide)).alias("b"),
         F.sum("m").alias("so"))
-    mine = counts.select("lang", "source", "i", F.col("c").alias("cg"))
-    yours = counts.select("lang", F.col("source").alias("other"), "i", F.col("c").alias("co"))
-    shared = mine.join(yours, ["lang", "i"]).filter(F.col("source") != F.col("other"))
-    shared = join_lookup(shared, pairs, ["lang", "source", "other"], ["i"])
+    mine = counts.select("lang", "source", "term", F.col("c").alias("cg"))
+    yours = counts.select("lang", F.col("source").alias("other"), "term", F.col("c").alias("co"))
+    shared = mine.join(yours, ["lang", "term"]).filter(F.col("source") != F.col("other"))
+    shared = join_lookup(shared, pairs, ["lang", "source", "other"], ["term"])
     p, q = share(F.col("cg"), F.col("ng"), F.col("v")), share(F.col("co"), F.col("no"), F.col("v"))
     both = shared.groupBy("lang", "source", "other").agg(
         F.sum((gap(p, q) - gap(p, q0) - gap(p0, q) + gap(p0, q0)).cast(wide)).alias("i_sum"))

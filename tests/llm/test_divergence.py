@@ -79,3 +79,13 @@ def test_query_equals_sql(spark, sf_dir):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
     want = sorted(tuple(r) for r in con.execute(f"SELECT lang, source, part, item, value, rank FROM ({SQL})").fetchall())
     assert rows_of(query(spark, sf_dir)) == want
+
+
+def test_vectorizer_counts_agree(spark):
+    from rentalytics.llm.divergence import group_counts, term_lists, vectorizer_counts
+
+    for df in (spark.createDataFrame(TEXTS, "text string, lang string, source string"), awkward(spark)):
+        lists = term_lists(df)
+        counts, _ = group_counts(lists)
+        assert sorted(map(tuple, counts.select("lang", "source", "term", "c").collect())) == sorted(
+            map(tuple, vectorizer_counts(lists).collect()))
