@@ -143,6 +143,8 @@ class Bucket:
         self.words = [words[i] for i in order]
         self.counts = [counts[i] for i in order]
         self.width = int(self.vectors.max(initial=0)) + 3
+        self.codes = CodePoints(self.words)
+        self.empty = [not self.vectors[:, level].any() for level in range(LEVELS - TOP)]
         self.nodes, self.keys = [], []
         node = np.zeros(len(words), np.int64)
         for level in range(LEVELS - TOP):
@@ -168,6 +170,13 @@ class Bucket:
             left = depth - level - 1
             node = self.nodes[level][lo]
             here = targets[query, level]
+            if self.empty[level]:  # every word counts 0 here: the count stays 0 or one deficit is spent
+                spend = (here == 1) & (d >= 1)
+                keep = ((here == 0) | spend) & (s + d - spend <= left)
+                query, lo, hi, s, d = query[keep], lo[keep], hi[keep], s[keep], (d - spend)[keep]
+                if not len(query):
+                    return np.zeros(0, np.int64), np.zeros(0, np.int64)
+                continue
             parts = []
             for delta, ds, dd in ((0, 0, 0), (1, 1, 0), (-1, 0, 1)):
                 ns, nd = s - ds, d - dd
@@ -188,20 +197,63 @@ class Bucket:
 
     def near(self, words: list[str], surplus: np.ndarray, deficit: np.ndarray) -> list[tuple[int, str | None, int]]:
         """For each query copy: how many near words of this bucket lie on its path, and the one of largest count
-        (ties: least in code-point order)."""
+        (ties: least in code-point order).
+
+        Leaves are verified on code-point rows in arrays; words longer than ``CodePoints.WIDTH`` by ``one_edit``.
+        """
         found = [[0, None, -1] for _ in words]
         queries, rows = self.leaves(vectors_of(words)[:, TOP:], surplus, deficit)
+        if len(queries):
+            near, unsure = CodePoints(words).one_edit(queries, self.codes, rows)
+            for k in np.flatnonzero(unsure).tolist():
+                near[k] = one_edit(words[queries[k]], self.words[rows[k]])
+            queries, rows = queries[near], rows[near]
         for q, row in zip(queries.tolist(), rows.tolist()):
-            word, other = words[q], self.words[row]
-            if one_edit(word, other):
-                f = found[q]
-                f[0] += 1
-                n = self.counts[row]
-                if n > f[2] or (n == f[2] and other < f[1]):
-                    f[1], f[2] = other, n
+            f, other, n = found[q], self.words[row], self.counts[row]
+            f[0] += 1
+            if n > f[2] or (n == f[2] and other < f[1]):
+                f[1], f[2] = other, n
         return [tuple(f) for f in found]
 
 
+class CodePoints:
+    """Words as rows of code points, from the front and from the back, padded with zeros to ``WIDTH``."""
+
+    WIDTH = 32
+
+    def __init__(self, words: list[str]) -> None:
+        self.lengths = np.array([len(w) for w in words], np.int64).reshape(len(words))
+        front = np.zeros((len(words), self.WIDTH), np.int32)
+        back = np.zeros((len(words), self.WIDTH), np.int32)
+        short = np.flatnonzero(self.lengths <= self.WIDTH)
+        if len(short):
+            codes = np.frombuffer("".join(words[i] for i in short.tolist()).encode("utf-32-le"), np.uint32)
+            sizes = self.lengths[short]
+            row = np.repeat(short, sizes)
+            place = np.arange(sizes.sum()) - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+            front[row, place] = codes
+            back[row, np.repeat(sizes, sizes) - 1 - place] = codes
+        self.front, self.back = front, back
+
+    def one_edit(self, mine: np.ndarray, other: CodePoints, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the pairs (mine[k], theirs[k]): whether they are one edit apart, and which pairs hold a word longer
+        than ``WIDTH``, left undecided. One edit apart: not equal, lengths within one, and the common beginning and
+        the common end together at least the longer length less one."""
+        la, lb = self.lengths[mine], other.lengths[theirs]
+        unsure = (la > self.WIDTH) | (lb > self.WIDTH)
+        out = np.zeros(len(mine), bool)
+        step = 100_000  # pairs at a time, to bound the arrays
+        for start in range(0, len(mine), step):
+            part = slice(start, start + step)
+            same = self.front[mine[part]] == other.front[theirs[part]]
+            pre = np.where(same.all(axis=1), self.WIDTH, same.argmin(axis=1))
+            same = self.back[mine[part]] == other.back[theirs[part]]
+            suf = np.where(same.all(axis=1), self.WIDTH, same.argmin(axis=1))
+            x, y = la[part], lb[part]
+            out[part] = ~((x == y) & (pre >= x)) & (np.abs(x - y) <= 1) & (pre + suf >= np.maximum(x, y) - 1)
+        return out & ~unsure, unsure
+
+
 def _plans() -> list[tuple[int, int | None, int | None, bool]]:
     """(length change, surplus level or -1 for below, deficit level likewise, Latin-1 words only) of each copy kind."""
     below = [*range(TOP), -1]
@@ -359,7 +411,8 @@ def group_variants(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     last; a word without a form is its own root. Null texts have no words; an empty table gives no rows; other
     columns are ignored. Forms only point to words of larger count, so the chains end.
     """
-    near = stage(near_words(words(docs, id_col, text), bucket_rows), "variant-near")
+    counted = stage(words(docs, id_col, text), "variant-words")
+    near = stage(near_words(counted, bucket_rows), "variant-near")
     has_form = F.col("best_n") >= F.col("n") * FORM_RATIO
     table = stage(near.select("word", "n", "n_near", F.when(has_form, F.col("best")).alias("form"),
                               F.when(has_form, F.col("best_n")).alias("form_n")), "variant-forms")
