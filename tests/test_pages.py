@@ -252,25 +252,57 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
         map(str, got.select(sorted(batch.columns)).collect()))
 
 
-def test_known_addresses_are_state_and_rows_without_address_stay(spark, tmp_path):
+def test_batches_read_their_buckets_and_keep_rows_without_address(spark, tmp_path):
+    inbox, out, progress, rest = (str(tmp_path / d) for d in ("in", "out", "cp", "rest"))
+    O.write_by_city(city_rows(spark, [(f"u{i}", "paris", i) for i in range(50)] + [(None, "rome", 1)]), inbox + "/1")
+    T.ingest_city_files(spark, inbox, out, progress, no_address_dir=rest).awaitTermination()
+    O.write_by_city(city_rows(spark, [("u7", "paris", 9), ("v", None, 1)]), inbox + "/2")
+    T.ingest_city_files(spark, inbox, out, progress, no_address_dir=rest).awaitTermination()
+    got = T.read_city_table(spark, out)
+    assert got.count() == 51 and got.filter("url = 'u7'").first().realSum == 7
+    assert got.columns == [f.name for f in T.schemas.CITY_FILE.fields]
+    assert spark.read.parquet(rest).filter("city = 'rome'").count() == 1
+
+
+def test_repeated_batch_adds_nothing(spark, tmp_path):
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    O.write_by_city(city_rows(spark, [("u1", "paris", 1)]), inbox)
+    for progress in ("cp1", "cp2"):  # a lost checkpoint replays the files
+        T.ingest_city_files(spark, inbox, out, str(tmp_path / progress)).awaitTermination()
+    assert T.read_city_table(spark, out).count() == 1
+
+
+def test_keyed_stream_equals_batch(spark, tmp_path):
+    inbox, out, progress = (str(tmp_path / d) for d in ("in", "out", "cp"))
+    O.write_by_city(city_rows(spark, [("u1", "paris", 1), ("u2", "paris", 2), ("u2", "paris", 2)]), inbox + "/1")
+    T.ingest_city_files_keyed(spark, inbox, out, progress, files_per_batch=1).awaitTermination()
+    O.write_by_city(city_rows(spark, [("u2", "paris", 3), ("u3", "rome", 4)]), inbox + "/2")
+    T.ingest_city_files_keyed(spark, inbox, out, progress, files_per_batch=1).awaitTermination()
+    got = T.read_city_table(spark, out)
+    batch = T.batch_city_files(spark, inbox)
+    assert sorted(map(str, batch.select(sorted(batch.columns)).collect())) == sorted(
+        map(str, got.select(sorted(batch.columns)).collect()))
+
+
+def test_keyed_known_addresses_and_rows_without_address(spark, tmp_path):
     inbox, out, progress = (str(tmp_path / d) for d in ("in", "out", "cp"))
     O.write_by_city(city_rows(spark, [(f"u{i}", "paris", i) for i in range(50)] + [(None, "rome", 1)]), inbox + "/1")
-    T.ingest_city_files(spark, inbox, out, progress).awaitTermination()
+    T.ingest_city_files_keyed(spark, inbox, out, progress).awaitTermination()
     O.write_by_city(city_rows(spark, [("u7", "paris", 9), ("v", None, 1), (None, "rome", 2)]), inbox + "/2")
-    T.ingest_city_files(spark, inbox, out, progress).awaitTermination()
+    T.ingest_city_files_keyed(spark, inbox, out, progress).awaitTermination()
     got = T.read_city_table(spark, out)
     assert got.count() == 53 and got.filter("url = 'u7'").first().realSum == 7
     assert got.filter("url is null").count() == 2
     assert got.columns == [f.name for f in T.schemas.CITY_FILE.fields]
 
 
-def test_repeated_batch_adds_nothing(spark, tmp_path):
+def test_keyed_repeated_batch_adds_nothing(spark, tmp_path):
     inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
     O.write_by_city(city_rows(spark, [("u1", "paris", 1)]), inbox)
     for progress in ("cp1", "cp2"):  # a lost checkpoint replays the files; the table seeds the new state
-        T.ingest_city_files(spark, inbox, out, str(tmp_path / progress)).awaitTermination()
+        T.ingest_city_files_keyed(spark, inbox, out, str(tmp_path / progress)).awaitTermination()
     O.write_by_city(city_rows(spark, [("u1", "paris", 5), ("u2", "rome", 6)]), inbox + "/later")
-    T.ingest_city_files(spark, inbox, out, str(tmp_path / "cp3")).awaitTermination()
+    T.ingest_city_files_keyed(spark, inbox, out, str(tmp_path / "cp3")).awaitTermination()
     assert sorted((r.url, r.realSum) for r in T.read_city_table(spark, out).collect()) == [("u1", 1), ("u2", 6)]
 
 
