@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rentalytics import constants as C
 from rentalytics import schemas
+from rentalytics.functions.html import once
 from rentalytics.functions.scalars import to_flag
 
 
@@ -25,17 +26,23 @@ def nulls_for_missing(df: DataFrame) -> DataFrame:
 
 
 def _typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
-    """Text columns cast leniently: one odd cell costs that cell and not the file."""
-    cols = []
-    for f in schema.fields:
+    """Text columns cast leniently: one odd cell costs that cell and not the file.
+
+    Each cell is read by a lambda of its own. Written out side by side, the casts of a wide
+    file become one generated method that is too long for the JVM to compile.
+    """
+    def typed(f: T.StructField):
+        def read(c: Column) -> Column:
+            if isinstance(f.dataType, T.IntegerType):  # written as 1, 1.0, or a truth value
+                return F.coalesce(c.try_cast("double").try_cast("int"), to_flag(c))
+            return c.try_cast(f.dataType)
+
         c = F.col(f"`{f.name}`")
-        c = F.when(~c.isin(*C.MISSING_TEXTS), c)
-        if isinstance(f.dataType, T.IntegerType):  # written as 1, 1.0, or a truth value
-            c = F.coalesce(c.try_cast("double").try_cast("int"), to_flag(c))
-        else:
-            c = c.try_cast(f.dataType)
-        cols.append(c.alias(f.name))
-    return nulls_for_missing(raw.select(cols))
+        if isinstance(f.dataType, T.StringType):
+            return F.when(~c.isin(*C.MISSING_TEXTS), c).alias(f.name)
+        return once(c, lambda c: F.when(~c.isin(*C.MISSING_TEXTS), read(c))).alias(f.name)
+
+    return nulls_for_missing(raw.select([typed(f) for f in schema.fields]))
 
 
 def _read_csv(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:

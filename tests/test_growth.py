@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rentalytics.functions.scalars import key_number
 from rentalytics.operators import warehouse as W
+from rentalytics.sources import readers as R
 
 
 def rows(df):
@@ -29,3 +30,16 @@ def test_keys_of_typed_columns_take_no_way_through_text(spark):
     assert "as double" not in plan
     general = df.select(W.dim_key("dim_amenities").alias("amenity_id"))
     assert rows(W.build_dim(df, "dim_amenities").select("amenity_id")) == rows(general)
+
+
+def test_cells_of_a_wide_file_are_read_one_by_one(spark, tmp_path):
+    names = [f.name for f in R.schemas.SOURCE_A.fields]
+    cells = {"realSum": ("1e2", "x", "NaN"), "multi": ("1.0", "true", "many"), "room_type": ("NULL", "a", "None")}
+    lines = [",".join(names)] + [",".join(cells.get(n, ("",) * 3)[i] for n in names) for i in range(3)]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    df = R.read_source_a(spark, str(tmp_path / "a.csv"))
+    assert [(r.realSum, r.multi, r.room_type, r.lat) for r in df.collect()] == [
+        (100.0, 1, None, None), (None, 1, "a", None), (None, None, None, None)]
+    numbers = [f for f in R.schemas.SOURCE_A.fields if f.dataType.simpleString() != "string"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lambdafunction") >= len(numbers)  # no long generated method
