@@ -296,9 +296,23 @@ PAGE_RULES: dict[str, str] = {
 }
 
 
-def listing_pages(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
-    """One raw listing page per order; the page kinds cover every extraction rule."""
-    orders = table(spark, sf_dir, "orders", spread)
+# Parsing a page costs far more than reading its order: a few splits of a file hold too many.
+PAGES_PER_TASK = 50_000
+
+
+def listing_pages(
+    spark: SparkSession, sf_dir: str, spread: bool = False, per_task: int = PAGES_PER_TASK
+) -> DataFrame:
+    """One raw listing page per order; the page kinds cover every extraction rule.
+
+    ``spread`` deals the orders out to as many tasks as their number asks for, and to all
+    cores at least.
+    """
+    orders = table(spark, sf_dir, "orders")
+    if spread:
+        tasks = max(spark.sparkContext.defaultParallelism, -(-orders.count() // per_task))
+        if orders.rdd.getNumPartitions() < tasks:
+            orders = orders.repartition(tasks)
     key, *fields = [F.expr(r.replace("{text}", "string")).alias(n) for n, r in PAGE_RULES.items()]
     # A generator keeps the page text a stored value: filters on it do not rebuild it.
     return orders.select(key, F.inline(F.array(F.struct(*fields))))
