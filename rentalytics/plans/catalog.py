@@ -444,8 +444,9 @@ def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     records = P.extract_listings(listing_pages(spark, sf, spread=True))
     records = stage(records.select(*C.CITY_FILE_COLUMNS), "records")
     inbox = stage_path(spark, "inbox")
-    O.write_by_city(records, f"{inbox}/drop-1", files_per_city=2)
-    O.write_by_city(records.filter(F.col("beds") > 2), f"{inbox}/drop-2", files_per_city=1)
+    # As many files as a city's size asks for: a fixed number would be as many tasks, however large the city.
+    O.write_by_city(records, f"{inbox}/drop-1")
+    O.write_by_city(records.filter(F.col("beds") > 2), f"{inbox}/drop-2")
     out, progress = stage_path(spark, "city-table"), stage_path(spark, "progress")
     ingest_city_files(spark, inbox, out, progress).awaitTermination()
     return read_city_table(spark, out)
