@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rentalytics import constants as C
 from rentalytics.functions.scalars import hash_id, key_number, key_text
-from rentalytics.runtime import small_or_plain
+from rentalytics.runtime import small_or_plain, stage
 
 # dimension -> (key, attributes)
 DIMENSIONS: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -105,6 +105,26 @@ def build_star(df: DataFrame, hex_digits: int | None = None) -> dict[str, DataFr
     return {**tables, FACT: build_fact(df, hex_digits)}
 
 
+def dims_at_once(df: DataFrame, hex_digits: int | None = None) -> dict[str, DataFrame]:
+    """All dimensions from one pass over ``df``, written to the shared folder while the query is built.
+
+    Each row is unrolled to its five attribute tuples inside the task, and equal tuples
+    collapse before the shuffle: a costly ``df`` is computed once, not once per dimension.
+    """
+    kinds = dict(df.dtypes)
+    every = list(dict.fromkeys(a for _, attributes in DIMENSIONS.values() for a in attributes))
+    tuples = F.array(*[
+        F.struct(F.lit(name).alias("_dim"), *[
+            (F.col(a) if a in attributes else F.lit(None).cast(kinds[a])).alias(a) for a in every])
+        for name, (_, attributes) in DIMENSIONS.items()
+    ])
+    found = stage(df.select(F.inline(tuples)).distinct(), "dimensions")
+    return {
+        name: found.filter(F.col("_dim") == name).select(dim_key(name, hex_digits, kinds).alias(key), *attributes)
+        for name, (key, attributes) in DIMENSIONS.items()
+    }
+
+
 def check_star(star: Mapping[str, DataFrame]) -> DataFrame:
     """(check_name, table_name, bad_keys, bad_rows), one row per constraint.
 

@@ -95,7 +95,7 @@ WAREHOUSE: dict[str, Query] = {
     "dim_amenities": _flat(lambda df: W.build_dim(df, "dim_amenities")),
     "dim_day": _flat(lambda df: W.build_dim(df, "dim_day")),
     "fact_listings": _flat(W.build_fact),
-    "fact_listings_joined": _flat(lambda df: W.build_fact_joined(df, W.build_star(df))),
+    "fact_listings_joined": _flat(lambda df: W.build_fact_joined(df, W.dims_at_once(df))),
     "keyed_listings": _flat(W.with_keys),
     "check_star": _star(W.check_star),
     # Short number keys, for readers that need them.
