@@ -1,11 +1,16 @@
 """Steps whose cost must not grow faster than the input: keys, readers, pages, files, dimensions, imputation."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rentalytics.functions.scalars import key_number
+from rentalytics.operators import imputation as I
 from rentalytics.operators import warehouse as W
+from rentalytics.plans.catalog import QUERIES
 from rentalytics.sources import readers as R
+from rentalytics.sources import writers as O
+from rentalytics.sources.binding import listing_pages, listings, table
 
 
 def rows(df):
@@ -43,3 +48,45 @@ def test_cells_of_a_wide_file_are_read_one_by_one(spark, tmp_path):
     numbers = [f for f in R.schemas.SOURCE_A.fields if f.dataType.simpleString() != "string"]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lambdafunction") >= len(numbers)  # no long generated method
+
+
+def test_pages_are_dealt_by_their_number(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").count()
+    dealt = listing_pages(spark, sf_dir, spread=True, per_task=20)
+    assert dealt.rdd.getNumPartitions() == -(-orders // 20) > spark.sparkContext.defaultParallelism
+    assert rows(dealt.select("page_id", F.md5("html"))) == rows(
+        listing_pages(spark, sf_dir).select("page_id", F.md5("html")))
+
+
+def test_ingest_writes_files_by_size(spark, sf_dir, monkeypatch):
+    plans = []
+    write = O.write_by_city
+    monkeypatch.setattr(O, "write_by_city", lambda df, path, **options: (plans.append(options), write(df, path, **options)))
+    got = QUERIES["ingest_city_files"](spark, sf_dir)
+    assert len(plans) == 2 and not any(p.get("files_per_city") for p in plans)
+    assert got.count() == got.select("url").distinct().count() > 0
+
+
+def test_dimensions_from_one_pass(spark, sf_dir):
+    df = listings(spark, sf_dir)
+    odd = df.limit(3).withColumns({"city": F.lit(None).cast("string"), "wifi": F.lit(None).cast("int")})
+    df = df.unionAll(odd).unionAll(odd)
+    one, each = W.dims_at_once(df), W.build_star(df)
+    assert set(one) == set(W.DIMENSIONS)
+    for name, dim in one.items():
+        assert dim.columns == each[name].columns
+        assert rows(dim) == rows(each[name]), name
+    plan = W.build_fact_joined(df, one)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_partkey#") > 0 and plan.count("Generate") == 0
+    assert rows(W.build_fact_joined(df, one)) == rows(W.build_fact(df))
+
+
+def test_imputation_chunks_change_nothing():
+    rng = np.random.default_rng(3)
+    donors = rng.normal(size=(300, 6))
+    imputer = I.Imputer(tuple("abcdef"), 3, 3, donors.mean(0), donors.std(0), donors)
+    values = rng.normal(size=(700, 6))
+    values[::2, 3:] = np.nan
+    values[::7, 1] = np.nan
+    assert I.CHUNK_ROWS * 2000 * 8 <= 1 << 20  # the distances of a chunk fit a core's cache
+    assert np.array_equal(imputer.fill(values), imputer.fill(values, 512), equal_nan=True)
