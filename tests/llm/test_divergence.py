@@ -89,3 +89,38 @@ def test_vectorizer_counts_agree(spark):
         counts, _ = group_counts(lists)
         assert sorted(map(tuple, counts.select("lang", "source", "term", "c").collect())) == sorted(
             map(tuple, vectorizer_counts(lists).collect()))
+
+
+def test_terms_of_bytes_and_partial_counts():
+    """One pass over a batch's bytes: terms as the pattern finds them, places and documents counted together."""
+    import pyarrow as pa
+
+    from rentalytics.llm.divergence import count_terms, term_array
+
+    texts = ["", "Alpha\x00beta BETA", "gÖteborg×x", "", "\U0001f600  z9Z", "beta", "[a]`b`{c}~\x7fD@"]
+    low = [TERM.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)) for t in texts]
+    for begin in (0, 2, 6):
+        terms, sizes = term_array(pa.array(texts)[begin:])
+        assert terms.to_pylist() == [t for found in low[begin:] for t in found]
+        assert sizes.tolist() == [len(found) for found in low[begin:]]
+    assert term_array(pa.array([], pa.string()))[0].to_pylist() == []
+    langs, sources = ["en", "en", "de", "en", "de", "en", "en"], ["a", "b", "a", "a", "a", "b", "a"]
+    rows = list(zip(langs, sources, low)) * 2
+    want = Counter((g, s, t) for g, s, found in rows for t in found)
+    docs = Counter((g, s, t) for g, s, found in rows for t in set(found))
+    batch = pa.RecordBatch.from_pydict({"lang": langs * 2, "source": sources * 2, "text": texts * 2})
+    got = count_terms(batch).to_pylist()
+    assert {(r["lang"], r["source"], r["term"]): (r["c"], r["df"]) for r in got} == {k: (want[k], docs[k]) for k in want}
+    assert len(got) == len(want)
+    assert count_terms(batch.slice(0, 0)).num_rows == 0
+
+
+def test_shares_beyond_64_bits(spark):
+    from pyspark.sql import functions as F
+
+    from rentalytics.llm.divergence import NARROW, share
+
+    rows = [(0, 1, 1), (NARROW - 2, NARROW - 2, 1), (NARROW, NARROW + 7, 5), (10**15, 3 * 10**15, 11)]
+    got = spark.createDataFrame(rows, "c long, n long, v long").select(
+        "c", "n", "v", share(F.col("c"), F.col("n"), F.col("v")).alias("p")).collect()
+    assert all(r.p == 1 + 10**9 * (r.c + 1) // (r.n + r.v) for r in got)
