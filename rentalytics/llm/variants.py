@@ -119,101 +119,124 @@ CHUNK = 20_000
 
 def vectors_of(words: list[str]) -> np.ndarray:
     """Frequency vectors of many words at once (one row each)."""
-    out = np.zeros((len(words), LEVELS), np.int64)
     if not words:
-        return out
-    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-    rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    np.add.at(out, (rows, _LEVEL_TABLE[codes]), 1)
-    return out
+        return np.zeros((0, LEVELS), np.int64)
+    codes = np.frombuffer("".join(words).encode("latin-1"), np.uint8)
+    rows = np.repeat(np.arange(len(words)) * LEVELS, [len(w) for w in words])
+    return np.bincount(rows + _LEVEL_TABLE[codes], minlength=len(words) * LEVELS).reshape(-1, LEVELS)
 
 
 class Bucket:
     """The index words of one bucket, sorted by their vectors below the top levels: an implicit trie.
 
-    Rows sorted by vector make every trie node a range of rows. For each level, ``keys[level]`` holds the row's node
-    at that level times ``width`` plus its count there, a non-decreasing array: the range of a node's child with count
-    c is where the key equals node * width + c.
+    Rows sorted by vector make every trie node a range of rows. For each level, ``children[level]`` holds a row of
+    ``width`` places per node: the child with count c is at c + 1, -1 where there is none, so that a count below 0 or
+    above all counts of the bucket is a place without a child. A node of the last level is one distinct vector, its
+    rows from ``first[node]`` on.
     """
 
     def __init__(self, words: list[str], counts: list[int]) -> None:
         vectors = vectors_of(words)[:, TOP:]
         order = np.lexsort(vectors.T[::-1]) if len(words) else np.zeros(0, np.int64)
-        self.vectors = vectors[order]
+        vectors = np.ascontiguousarray(vectors[order].T)
         self.words = [words[i] for i in order]
         self.counts = [counts[i] for i in order]
-        self.width = int(self.vectors.max(initial=0)) + 3
+        self.most = int(vectors.max(initial=0))
+        self.width = self.most + 6
         self.codes = CodePoints(self.words)
-        self.empty = [not self.vectors[:, level].any() for level in range(LEVELS - TOP)]
-        self.nodes, self.keys = [], []
-        node = np.zeros(len(words), np.int64)
-        for level in range(LEVELS - TOP):
-            key = node * self.width + self.vectors[:, level]
-            self.nodes.append(node)
-            self.keys.append(key)
-            node = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(key) else node
+        best = sorted(range(len(order)), key=lambda i: (-self.counts[i], self.words[i]))
+        self.best = np.array(best, np.int64)  # rows by falling count, then in code-point order
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[self.best] = np.arange(len(order))
+        self.empty = [not counts_here.any() for counts_here in vectors]
+        self.children = []
+        node = np.zeros(len(order), np.int64)
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for level, counts_here in enumerate(vectors):
+            if self.empty[level]:
+                self.children.append(None)
+                continue
+            table = np.full((int(node[-1]) + 1) * self.width, -1, np.int32)
+            new[1:] |= counts_here[1:] != counts_here[:-1]
+            at = np.flatnonzero(new)
+            table[node[at] * self.width + counts_here[at] + 1] = np.arange(len(at))
+            self.children.append(table)
+            node = np.cumsum(new) - 1
+        self.first = np.append(np.flatnonzero(new), len(order))
 
     def leaves(self, targets: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, row) of every index row whose vector differs from the query's target by exactly its budget: one up
         on one level where ``surplus`` is 1, one down on another where ``deficit`` is 1.
 
-        All queries descend the trie together, level by level: a node's children are its count, one more while
-        surplus is left, one less while deficit is left; a path that could no longer spend its budget stops.
+        All queries descend the trie together, level by level, those with the same budget left side by side: a
+        node's children are its count, one more while surplus is left, one less while deficit is left; a path that
+        could no longer spend its budget stops.
         """
-        depth = LEVELS - TOP
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not self.words or not len(targets):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        query = np.arange(len(targets))
-        lo, hi = np.zeros(len(targets), np.int64), np.full(len(targets), len(self.words), np.int64)
-        s, d = surplus.astype(np.int64), deficit.astype(np.int64)
-        for level in range(depth):
-            left = depth - level - 1
-            node = self.nodes[level][lo]
-            here = targets[query, level]
-            if self.empty[level]:  # every word counts 0 here: the count stays 0 or one deficit is spent
-                spend = (here == 1) & (d >= 1)
-                keep = ((here == 0) | spend) & (s + d - spend <= left)
-                query, lo, hi, s, d = query[keep], lo[keep], hi[keep], s[keep], (d - spend)[keep]
-                if not len(query):
-                    return np.zeros(0, np.int64), np.zeros(0, np.int64)
-                continue
-            parts = []
-            for delta, ds, dd in ((0, 0, 0), (1, 1, 0), (-1, 0, 1)):
-                ns, nd = s - ds, d - dd
-                ok = (ns >= 0) & (nd >= 0) & (here + delta >= 0) & (ns + nd <= left)
-                if not ok.any():
-                    continue
-                want = node[ok] * self.width + here[ok] + delta
-                a = np.searchsorted(self.keys[level], want, "left")
-                b = np.searchsorted(self.keys[level], want, "right")
-                hit = a < b
-                parts.append((query[ok][hit], a[hit], b[hit], ns[ok][hit], nd[ok][hit]))
-            if not parts:
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            query, lo, hi, s, d = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        sizes = hi - lo
+            return none
+        levels = np.ascontiguousarray(np.minimum(targets, self.most + 3).T)
+        paths = {}
+        for s, d in ((0, 0), (1, 0), (0, 1), (1, 1)):
+            query = np.flatnonzero((surplus == s) & (deficit == d))
+            if len(query):
+                paths[s, d] = [(query, np.zeros(len(query), np.int32))]
+        for level, table in enumerate(self.children):
+            left = len(self.children) - level - 1
+            onward: dict[tuple[int, int], list] = {}
+            for (s, d), parts in paths.items():
+                query, node = parts[0] if len(parts) == 1 else (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+                here = levels[level][query]
+                for delta, ns, nd in ((0, s, d), (1, s - 1, d), (-1, s, d - 1)):
+                    if ns < 0 or nd < 0 or ns + nd > left:
+                        continue
+                    if table is None:  # every word counts 0 here, the node stays the same
+                        hit = np.flatnonzero(here == -delta)
+                        child = node
+                    else:
+                        child = table[node * self.width + (here + (delta + 1))]
+                        hit = np.flatnonzero(child >= 0)
+                    if len(hit):
+                        onward.setdefault((ns, nd), []).append((query[hit], child[hit]))
+            paths = onward
+        parts = paths.get((0, 0), [])
+        if not parts:
+            return none
+        query, node = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        lo = self.first[node]
+        sizes = self.first[node + 1] - lo
         rows = np.repeat(lo - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
         return np.repeat(query, sizes), rows
 
     def near(self, words: list[str], surplus: np.ndarray, deficit: np.ndarray) -> list[tuple[int, str | None, int]]:
-        """For each query copy: how many near words of this bucket lie on its path, and the one of largest count
-        (ties: least in code-point order).
+        """For each query copy: how many near words of this bucket lie on its path, and the one of largest count."""
+        found: list[tuple[int, str | None, int]] = [(0, None, -1)] * len(words)
+        for q, n, row in zip(*(a.tolist() for a in self.nearest(words, surplus, deficit))):
+            found[q] = n, self.words[row], self.counts[row]
+        return found
+
+    def nearest(self, words: list[str], surplus: np.ndarray, deficit: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The query copies with near words in this bucket on their path (ascending), how many those are, and the row
+        of the one of largest count (ties: least in code-point order).
 
         Leaves are verified on code-point rows in arrays; words longer than ``CodePoints.WIDTH`` by ``one_edit``.
         """
-        found = [[0, None, -1] for _ in words]
         queries, rows = self.leaves(vectors_of(words)[:, TOP:], surplus, deficit)
-        if len(queries):
-            near, unsure = CodePoints(words).one_edit(queries, self.codes, rows)
-            for k in np.flatnonzero(unsure).tolist():
-                near[k] = one_edit(words[queries[k]], self.words[rows[k]])
-            queries, rows = queries[near], rows[near]
-        for q, row in zip(queries.tolist(), rows.tolist()):
-            f, other, n = found[q], self.words[row], self.counts[row]
-            f[0] += 1
-            if n > f[2] or (n == f[2] and other < f[1]):
-                f[1], f[2] = other, n
-        return [tuple(f) for f in found]
+        met = np.zeros(len(words), bool)
+        met[queries] = True
+        asked = np.flatnonzero(met)
+        near, unsure = CodePoints([words[i] for i in asked.tolist()]).one_edit(
+            (np.cumsum(met) - 1)[queries], self.codes, rows)
+        for k in np.flatnonzero(unsure).tolist():
+            near[k] = one_edit(words[queries[k]], self.words[rows[k]])
+        queries, ranks = queries[near], self.rank[rows[near]]
+        order = np.lexsort((ranks, queries))
+        queries, ranks = queries[order], ranks[order]
+        new = np.ones(len(queries), bool)
+        new[1:] = queries[1:] != queries[:-1]
+        at = np.flatnonzero(new)
+        return queries[at], np.diff(np.append(at, len(queries))), self.best[ranks[at]]
 
 
 class CodePoints:
@@ -223,11 +246,11 @@ class CodePoints:
 
     def __init__(self, words: list[str]) -> None:
         self.lengths = np.array([len(w) for w in words], np.int64).reshape(len(words))
-        front = np.zeros((len(words), self.WIDTH), np.int32)
-        back = np.zeros((len(words), self.WIDTH), np.int32)
+        front = np.zeros((len(words), self.WIDTH), np.uint8)
+        back = np.zeros((len(words), self.WIDTH), np.uint8)
         short = np.flatnonzero(self.lengths <= self.WIDTH)
         if len(short):
-            codes = np.frombuffer("".join(words[i] for i in short.tolist()).encode("utf-32-le"), np.uint32)
+            codes = np.frombuffer("".join(words[i] for i in short.tolist()).encode("latin-1"), np.uint8)
             sizes = self.lengths[short]
             row = np.repeat(short, sizes)
             place = np.arange(sizes.sum()) - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
@@ -319,12 +342,13 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not held_words:
             return None
         trie = bucket if bucket is not None else Bucket(index_words, index_counts)
-        found = trie.near(held_words, np.concatenate(held_s), np.concatenate(held_d))
-        kept = [(w, *f) for w, f in zip(held_words, found) if f[0]]
+        queries, near, rows = trie.nearest(held_words, np.concatenate(held_s), np.concatenate(held_d))
+        queries, rows = queries.tolist(), rows.tolist()
+        columns = [[held_words[q] for q in queries], near, [trie.words[r] for r in rows], [trie.counts[r] for r in rows]]
         held_words, held_s, held_d = [], [], []
-        if not kept:
+        if not queries:
             return None
-        return pa.RecordBatch.from_pydict({name: [k[i] for k in kept] for i, name in enumerate(_FOUND.names)},
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW_FOUND)],
                                           schema=_ARROW_FOUND)
 
     for batch in batches:
@@ -333,8 +357,8 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "t0", "t1", "t2", "part")],
                         axis=1)
         kind = batch.column("kind").to_numpy(zero_copy_only=False)
-        texts = batch.column("word").to_pylist()
-        counts = batch.column("n").to_pylist()
+        texts = batch.column("word").to_numpy(zero_copy_only=False).tolist()
+        counts = batch.column("n").to_numpy(zero_copy_only=False)
         surplus = batch.column("surplus").to_numpy(zero_copy_only=False)
         deficit = batch.column("deficit").to_numpy(zero_copy_only=False)
         changed = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1) | (kind[1:] != kind[:-1])) + 1
@@ -346,7 +370,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key, index_words, index_counts, bucket = here, [], [], None
             if kind[a] == 0:
                 index_words.extend(texts[a:b])
-                index_counts.extend(counts[a:b])
+                index_counts.extend(counts[a:b].tolist())
                 continue
             if bucket is None:
                 bucket = Bucket(index_words, index_counts)

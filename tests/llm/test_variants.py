@@ -127,3 +127,24 @@ def test_copies_in_arrays_equal_the_rule():
     words = ["".join(rnd.choice("abeiqxàé") for _ in range(rnd.randint(1, 9))) for _ in range(300)]
     got = sorted(tuple(r.values()) for r in copy_batch(pa.array(words), np.arange(300)).to_pylist())
     assert got == sorted(c for i, w in enumerate(words) for c in copies(w, i))
+
+
+def test_trie_of_children_against_all_pairs():
+    """Every word against one bucket by every budget: counts above all of the bucket, levels without a letter, long
+    words, ties of the best; leaves are gathered from the places of children alone."""
+    rng = random.Random(11)
+    words = sorted({"".join(rng.choice("fgÿé") for _ in range(rng.randint(7, 9))) for _ in range(400)}
+                   | {"f" * 40, "f" * 39 + "g", "g" * 12})
+    counts = [rng.randint(2, 4) for _ in words]
+    bucket = Bucket(words, counts)
+    assert [c is None for c in bucket.children] == bucket.empty and not all(bucket.empty)
+    asked = [*words, "f" * 41, "zzzzzzz", "g" * 13]
+    for s, d in ((0, 0), (1, 0), (0, 1), (1, 1)):
+        found = bucket.near(asked, np.full(len(asked), s), np.full(len(asked), d))
+        for word, (n, best, best_n) in zip(asked, found):
+            near = []
+            for other, count in zip(words, counts):
+                gap = vector(other)[3:] - vector(word)[3:]
+                if sorted(gap[gap != 0].tolist()) == [-1] * d + [1] * s and one_edit(word, other):
+                    near.append((-count, other))
+            assert (n, best, best_n) == ((len(near), min(near)[1], -min(near)[0]) if near else (0, None, -1))
