@@ -29,13 +29,33 @@ _ROUNDS = 3
 _POWERS = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(255, np.uint64(0xD6E8FEB86659FD93))]))
 
 
+def _coin(left: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Twice the place of the lowest bit in which ``own`` differs from ``left``, plus that bit; 0 if they are equal."""
+    d = left ^ own
+    power = (d & (~d + np.uint64(1))).astype(np.float64)  # exact: a power of two, its place is the exponent
+    low = ((power.view(np.int64) >> 52) - 1023).clip(0).astype(np.uint64)
+    label = (low << np.uint64(1)) | ((own >> low) & np.uint64(1))
+    label[d == 0] = 0
+    return label.astype(np.uint8)
+
+
+# Labels of the later rounds, which start from numbers below 128: by left neighbour and own number.
+_NEXT_COIN = _coin(np.repeat(np.arange(128, dtype=np.uint64), 128), np.tile(np.arange(128, dtype=np.uint64), 128))
+
+
 def _coin_labels(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Labels below 8 that differ from one symbol to the next, from symbols that do."""
-    for _ in range(_ROUNDS):
-        d = np.concatenate([x[:1], x[1:] ^ x[:-1]])
-        d[first] = 1  # no left neighbour: the lowest bit
-        low = np.log2((d & (~d + np.uint64(1))).astype(np.float64)).astype(np.uint64)
-        x = (low << np.uint64(1)) | ((x >> low) & np.uint64(1))
+    """Labels below 8 that differ from one symbol to the next, from symbols that do.
+
+    A symbol without a left neighbour counts as one that differs in the lowest bit.
+    """
+    at = np.flatnonzero(first)
+    left = np.concatenate([x[:1], x[:-1]])
+    left[at] = x[at] ^ np.uint64(1)
+    x = _coin(left, x)
+    for _ in range(_ROUNDS - 1):
+        left = np.concatenate([x[:1], x[:-1]])
+        left[at] = x[at] ^ np.uint8(1)
+        x = _NEXT_COIN[(left.astype(np.int64) << 7) | x]
     return x
 
 
@@ -60,7 +80,7 @@ def next_level(x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     fall = np.concatenate([label[:-1] > label[1:], [True]]) | np.concatenate([first[1:], [True]])
     starts = np.flatnonzero(first | (rise & fall))
     place = np.arange(y.size) - np.repeat(starts, np.diff(np.concatenate([starts, [y.size]])))
-    terms = mix64(y) * _POWERS[place % 256] + place.astype(np.uint64) // np.uint64(256)
+    terms = mix64(y) * _POWERS[place & 255] + (place >> 8).astype(np.uint64)
     names = mix64(np.add.reduceat(terms, starts))
     # Where each text begins, first in symbols y, then in phrases.
     in_y = np.concatenate([[0], np.cumsum(new)])[bounds]
@@ -78,7 +98,8 @@ def fingerprints(texts: list[str], levels: tuple[int, ...] = LEVELS, kept: int =
             continue
         text = np.repeat(np.arange(len(texts)), np.diff(bounds))
         h = (mix64(x + np.uint64(level)) >> np.uint64(32)).astype(np.int64)
-        keys = np.unique((text << 32) | h)
+        keys = np.sort((text << 32) | h)
+        keys = keys[np.diff(keys, prepend=-1) != 0]
         starts = np.searchsorted(keys >> 32, np.arange(len(texts) + 1))
         low = (keys & 0xFFFFFFFF).astype(">u4")
         for i in range(len(texts)):

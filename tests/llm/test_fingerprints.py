@@ -94,3 +94,25 @@ def test_awkward_rows(spark):
                                                             "doc_id", "text").collect())
     assert compare_with_next(empty(spark), "doc_id", "text").count() == 0
     assert fingerprint(empty(spark), "text").count() == 0
+
+
+def test_labels_are_those_of_the_rule():
+    """Labels by table against the rule taken bit by bit, with texts that begin anywhere and equal neighbours."""
+    import random
+
+    import numpy as np
+
+    from rentalytics.llm.fingerprints import _NEXT_COIN, _coin_labels
+
+    rng = random.Random(7)
+    x = [rng.choice([0, 1, 2**63, 2**64 - 1, rng.getrandbits(64), rng.getrandbits(3)]) for _ in range(3_000)]
+    first = [i == 0 or rng.random() < 0.1 for i in range(len(x))]
+    want = x
+    for _ in range(3):
+        d = [1 if f else a ^ b for f, a, b in zip(first, want, [0, *want])]
+        low = [(v & -v).bit_length() - 1 for v in d]
+        want = [0 if not v else 2 * k + (a >> k & 1) for v, k, a in zip(d, low, want)]
+    got = _coin_labels(np.array(x, np.uint64), np.array(first))
+    assert got.tolist() == want
+    assert _NEXT_COIN.size == 128 * 128 and _NEXT_COIN.dtype == np.uint8
+    assert _coin_labels(np.zeros(0, np.uint64), np.zeros(0, bool)).size == 0
