@@ -328,3 +328,61 @@ def test_model_learns_and_scores(spark, priced):
     got = {r.scenario_id: r for r in M.what_if(model, priced, scenarios).collect()}
     assert got[1].predicted_price < 200 < 400 < got[2].predicted_price
     assert got[3].person_capacity == M.base_rows(priced).filter("city = 'rome'").first().person_capacity
+
+
+ROUGH = ("listing_id long, city string, room_type string, person_capacity int, cleanliness_rating double, dist double,"
+         " is_weekend int, realSum double")
+
+
+def fitted_rows(monkeypatch):
+    """The number of rows that the trees are grown on, once for each fit."""
+    seen, fit = [], M.GBTRegressor._fit
+    monkeypatch.setattr(M.GBTRegressor, "_fit", lambda self, df: seen.append(df.count()) or fit(self, df))
+    return seen
+
+
+def test_trees_are_grown_on_cells_with_the_result_of_rows(spark, monkeypatch):
+    rows = [(i, (None, "paris", "rome")[i % 7 % 3], ("flat", "room")[i % 3 == 0], None if i % 11 == 0 else 1 + i % 5,
+             (i * i % 4) / 2.0, float(i % 8), i % 2, None if i % 97 == 0 else 50.0 + (i * 37 % 101) + 40 * (i % 5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, ROUGH).unionAll(spark.createDataFrame(rows[:700], ROUGH))
+    seen = fitted_rows(monkeypatch)
+    model = M.train_price_model(df, trees=5, depth=4)
+    known = M.features(df, ["realSum"]).dropna(subset=["realSum"]).withColumn("log_price", F.log1p("realSum"))
+    assert seen == [known.select(*M.FEATURES).distinct().count()] and 2 * seen[0] < known.count()
+    plain = M.Pipeline(stages=[
+        M.StringIndexer(inputCols=list(M.CATEGORIES), outputCols=["a", "b"], handleInvalid="keep", stringOrderType="alphabetAsc"),
+        M.VectorAssembler(inputCols=["a", "b", *M.NUMBERS], outputCol="features"),
+        M.GBTRegressor(featuresCol="features", labelCol="log_price", predictionCol="log_predicted", maxIter=5, maxDepth=4,
+                       seed=42, maxBins=64)]).fit(known)
+    want, got = ({r.listing_id: r.predicted_price for r in M.predict_price(m, df).select("listing_id", "predicted_price").collect()}
+                 for m in (plain, model))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 * want[k] for k in want)
+
+
+def test_numbers_of_many_values_enter_by_bucket(spark, monkeypatch):
+    # dist: a third missing, a third 0, the rest all different; the price depends on it alone
+    rows = [(i, "paris", "flat", 2, 5.0, (None, 0.0, 1 + i / 1000)[i % 3], 0,
+             (900.0, 400.0, 100.0 if i < 4500 else 200.0)[i % 3]) for i in range(9000)]
+    df = spark.createDataFrame(rows, ROUGH)
+    seen = fitted_rows(monkeypatch)
+    model = M.train_price_model(df, trees=3)
+    assert len(seen) == 1 and 10 < seen[0] <= 128  # one or two cells for each bin, not 3,002 for the values
+    scored = M.predict_price(model, df)
+    assert scored.columns == [*M.FEATURES, "listing_id", "realSum", "predicted_price"]
+    wrong = [r for r in scored.collect() if abs(r.predicted_price - r.realSum) > 0.02 * r.realSum]
+    assert all(r.dist > 1 and abs(r.dist - 5.5) < 0.3 for r in wrong)  # only in the bucket of the step
+
+
+def test_few_cells_of_many_rows(spark, priced):
+    same = priced.filter("listing_id < 1").select("listing_id", *M.FEATURES)
+    df = same.crossJoin(spark.createDataFrame([(90.0,), (110.0,), (100.0,)], "realSum double"))
+    cells = M.training_cells(M.features(df, ["realSum"]).withColumn("log_price", F.log1p("realSum")), M.FEATURES, 64)
+    assert sorted(r.n_rows for r in cells.collect()) == [1, 2]
+    got = M.predict_price(M.train_price_model(df, trees=2), df).collect()
+    assert len(got) == 3 and all(abs(r.predicted_price - (91 * 101 * 111) ** (1 / 3) + 1) < 1e-6 for r in got)
+
+
+def test_price_without_logarithm_is_refused(spark, priced):
+    bad = priced.withColumn("realSum", F.when(F.col("listing_id") == 7, -1.0).otherwise(F.col("realSum")))
+    with pytest.raises(Exception, match="(?i)label"):
+        M.train_price_model(bad, trees=1)
