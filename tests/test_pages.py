@@ -386,3 +386,16 @@ def test_price_without_logarithm_is_refused(spark, priced):
     bad = priced.withColumn("realSum", F.when(F.col("listing_id") == 7, -1.0).otherwise(F.col("realSum")))
     with pytest.raises(Exception, match="(?i)label"):
         M.train_price_model(bad, trees=1)
+
+
+def test_every_row_is_scored_also_outside_the_buckets(spark, monkeypatch):
+    rows = [(i, "paris", "flat", 2, 5.0, 1 + i / 1000, 0, 100.0 if i < 1000 else 200.0) for i in range(2000)]
+    seen = fitted_rows(monkeypatch)
+    model = M.train_price_model(spark.createDataFrame(rows, ROUGH), trees=3)
+    assert seen[0] <= 128
+    asked = [(1, "paris", -7.0), (2, "paris", 1e9), (2, "paris", 1e9), (3, "oslo", None), (4, None, 1.1)]
+    df = spark.createDataFrame(asked, "listing_id long, city string, dist double").select(
+        "listing_id", "city", F.lit("flat").alias("room_type"), F.lit(2).alias("person_capacity"),
+        F.lit(5.0).alias("cleanliness_rating"), "dist", F.lit(0).alias("is_weekend"))
+    got = sorted((r.listing_id, round(r.predicted_price, -1)) for r in M.predict_price(model, df).collect())
+    assert got == [(1, 100), (2, 200), (2, 200), (3, 100), (4, 100)]
