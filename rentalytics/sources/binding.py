@@ -56,6 +56,7 @@ LISTING_RULES: dict[str, tuple[str, tuple[str, ...]]] = {
     "rest_index_norm": ("cast(l_partkey % 13 as double) / cast(2 as double)", ()),
 }
 SPARK_WEEKEND = "weekday(o_orderdate) >= 5"
+ORDERS_TO_SHUFFLE = 500_000  # more orders than this are no broadcast side
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
@@ -74,7 +75,9 @@ def joined(spark: SparkSession, sf_dir: str, needed: set[str], spread: bool = Fa
     """lineitem with only those lookup tables whose columns are asked for.
 
     Every foreign key has its row (checked by the tests), so a join left out changes
-    no row. Sides are not hinted: file sizes decide between broadcast and shuffle.
+    no row. Sides are not hinted: file sizes decide between broadcast and shuffle. Orders too
+    many to be broadcast get their customers first, so that lineitem is not shuffled once
+    more on a column of theirs.
     """
     needed = set(needed)
     if "region" in needed:
@@ -86,6 +89,10 @@ def joined(spark: SparkSession, sf_dir: str, needed: set[str], spread: bool = Fa
     df = table(spark, sf_dir, "lineitem", spread).withColumn(
         "l_cents", F.round(F.col("l_extendedprice") * 100).cast("long")
     )
+    sides = {name: table(spark, sf_dir, name) for name in needed}
+    if "customer" in needed and sides["orders"].count() > ORDERS_TO_SHUFFLE:
+        sides["orders"] = sides["orders"].join(sides["customer"], F.expr("o_custkey = c_custkey"))
+        needed.remove("customer")
     for name, on in (
         ("orders", "l_orderkey = o_orderkey"),
         ("part", "l_partkey = p_partkey"),
@@ -95,7 +102,7 @@ def joined(spark: SparkSession, sf_dir: str, needed: set[str], spread: bool = Fa
         ("customer", "o_custkey = c_custkey"),
     ):
         if name in needed:
-            df = df.join(table(spark, sf_dir, name), F.expr(on))
+            df = df.join(sides[name], F.expr(on))
     return df
 
 
