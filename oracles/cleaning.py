@@ -80,7 +80,7 @@ PASSES = {
     "amenities": (("realSum", "person_capacity", "bedrooms", "longitude", "latitude"),
                   C.AMENITIES, ("person_capacity", "bedrooms", *C.AMENITIES), 1000),
     "distances": (("realSum", "longitude", "latitude", "person_capacity"),
-                  C.DISTANCE_MEASURES, ("person_capacity", *C.DISTANCE_MEASURES), 1500),
+                  C.DISTANCE_MEASURES, ("person_capacity", *C.DISTANCE_MEASURES), None),
     "rooms": (("person_capacity", "realSum", "longitude", "latitude"),
               C.ROOM_COUNTS, ("person_capacity", *C.ROOM_COUNTS), 2000),
 }
@@ -93,7 +93,7 @@ def knn(name: str) -> str:
     holes = [c for c in cols if c in missing]
     donors = f"""donors as materialized (
  select row_number() over (order by md5(listing_id || '_42'), listing_id) as did,
-  {', '.join(cols)} from gaps where {full} order by did limit {n})"""
+  {', '.join(cols)} from gaps where {full}{'' if n is None else f' order by did limit {n}'})"""
     scaler = "scaler as materialized (select " + ", ".join(
         f"avg({c}) as {c}_m, case when stddev_pop({c}) > 0 then stddev_pop({c}) else 1 end as {c}_s"
         for c in cols) + f" from gaps where {full})"
@@ -111,9 +111,19 @@ pool as materialized (
     near = ", ".join(
         f"arg_min({{'d': d2, 'r': rank, 'v': {c}, 'did': did}}, {{'r': rank, 'did': did}}, 3)"
         f" filter ({c} is not null) as near_{c}" for c in holes)
+    few = ""
     pairs = f"""pairs as (
  select t.listing_id, p.did, {', '.join('p.' + c for c in holes)},
-  ({total}) * {len(cols)} / ({present}) as d2, round(d2, 9) as rank from todo t, pool p),
+  ({total}) * {len(cols)} / ({present}) as d2, round(d2, 9) as rank from todo t, pool p)"""
+    if n is None:
+        # All donors: no row is further off than the third of any 500 donors, so pairs beyond it need no sorting.
+        some = "".join(f", coalesce(list_extract(min(rank, 3) filter ({c} is not null), 3), 'infinity'::double)" for c in holes)
+        few = pairs.replace("pairs as", "tried as").replace("pool p)", "pool p where p.did <= 500)") + f""",
+few as materialized (select listing_id, greatest(0{some}) as bound from tried group by listing_id),
+"""
+        pairs = pairs.replace("pairs as (", "pairs as (select * from (").replace("as rank from todo t, pool p)", """as rank, f.bound
+ from todo t join few f using (listing_id), pool p) where rank <= bound)""")
+    pairs = few + pairs + f""",
 nearest as materialized (select listing_id, {near} from pairs group by listing_id)"""
 
     def value(c: str) -> str:
